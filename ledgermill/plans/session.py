@@ -1,0 +1,29 @@
+"""Session settings for tests and local runs. On a cluster the session is given and only read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
+    spark = (SparkSession.builder.master(f"local[{cores}]").appName("ledgermill")
+             .config("spark.sql.shuffle.partitions", str(partitions))
+             .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.driver.memory", memory)
+             .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
+             .getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="ledgermill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
