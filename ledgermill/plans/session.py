@@ -27,3 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="ledgermill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialise(table):
+    """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
+    spark = table.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return table.checkpoint(eager=True)
