@@ -90,10 +90,11 @@ def extract_items(text: Column, multiplier: Column, keywords: KeywordSet = CORPO
         searched.append(F.struct(
             F.lit(i).alias("item"), F.lit(phrase).alias("phrase"),
             F.lit(_occurrence_pattern(phrase, i, phrases, window, match == "longest")).alias("pattern")))
+    table = F.array(*searched) if searched else F.array().cast("array<struct<item:int,phrase:string,pattern:string>>")
     guards = F.array(*[F.array(*[F.lit(g) for g in gs]).cast("array<string>") for gs in keywords.guards()])
 
     def search(prepared: Column) -> Column:
-        present = F.filter(F.array(*searched), lambda p: F.contains(prepared, p["phrase"]))
+        present = F.filter(table, lambda p: F.contains(prepared, p["phrase"]))
         windows = F.flatten(F.transform(present, lambda p: F.transform(
             F.filter(F.regexp_extract_all(prepared, p["pattern"], F.lit(1)), lambda w: F.rlike(w, F.lit("[0-9]"))),
             lambda w: F.struct(p["item"].alias("item"), w.alias("tail")))))

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
 from ledgermill.operators.statements import ItemReader
+from ledgermill.plans.session import materialise
 
 UPDATED, EMPTY, UNSEEN, SINGLE_CLASS, NO_MODEL = "updated", "empty", "unseen_label", "single_class", "no_model"
-TREES, DEPTH, ROUNDS, SEED = 100, 6, 20, 42
+TREES, DEPTH, ROUNDS, SEED = 50, 6, 20, 42
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def _prepared(model_features: PipelineModel, labels: Sequence[str], table: DataF
 
 def train(table: DataFrame, algorithm: str = "forest") -> RiskModel | None:
     """Fit the scaling, the label dictionary (alphabetical) and the classifier; None for an empty table."""
-    data = select_features(table, [V.TARGET])
+    data = materialise(select_features(table, [V.TARGET]))          # read by every fitting step
     labels = tuple(r[0] for r in data.select(V.TARGET).where(F.col(V.TARGET).isNotNull()).distinct().orderBy(V.TARGET).collect())
     if not labels:
         return None
@@ -148,7 +149,7 @@ def update(batch: DataFrame, model: RiskModel | None, history: DataFrame,
     status = update_guard(batch, model)
     if status != UPDATED:
         return model, status
-    data = select_features(history, [V.TARGET]).unionByName(select_features(batch, [V.TARGET]))
+    data = materialise(select_features(history, [V.TARGET]).unionByName(select_features(batch, [V.TARGET])))
     return RiskModel(model.features, _fit_classifier(_prepared(model.features, model.labels, data), algorithm),
                      model.labels), status
 
