@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
-from ledgermill.functions.text import SPACE, let, strip
+from ledgermill.functions.text import let, strip
 
 _UNIT_WORDS = rf"(?U)\b(?:{'|'.join(V.AMOUNT_UNIT_WORDS)})\b"
 _FLOAT = r"^[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$"
@@ -67,4 +67,4 @@ def to_double(text: Column) -> Column:
             F.when(F.rlike(t, F.lit(_FLOAT)), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
             .when(F.rlike(t, F.lit(_SPECIAL)), t.try_cast("double"))
         )
-    return let(F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", ""), convert)
+    return let(strip(text), convert)

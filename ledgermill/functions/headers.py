@@ -19,7 +19,9 @@ def report_year(text: Column, head: int = V.YEAR_CHARS) -> Column:
     """Latest year 2000-2099 announced in the first `head` characters, as text; null if there is none."""
     return let(
         F.lower(F.substring(text, 1, head)),
-        lambda t: F.coalesce(_years(t, V.YEAR_PATTERN), _years(t, V.YEAR_FALLBACK_PATTERN)).cast("string"),
+        lambda t: F.when(F.rlike(t, F.lit("[12][0-9]{3}")), F.coalesce(
+            F.greatest(_years(t, V.YEAR_CONTEXT_PATTERN), _years(t, V.YEAR_ALONE_PATTERN)),
+            _years(t, V.YEAR_FALLBACK_PATTERN)).cast("string")),
     )
 
 

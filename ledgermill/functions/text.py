@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # White space as str.strip and \s see it in Unicode mode; the control separators are not in Java's class.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,7 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def is_blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit(r"(?U)[^\s\x1c-\x1f]"))
 
 
 def collapse_spaces(text: Column) -> Column:

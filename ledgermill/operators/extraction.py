@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgermill import fixed_values as V
 from ledgermill.functions.amounts import parse_amount
 from ledgermill.functions.headers import report_year, unit_multiplier
-from ledgermill.functions.text import base_name, contains_any, document_form, let, strip
+from ledgermill.functions.text import base_name, contains_any, document_form, is_blank, let, strip
 from ledgermill.sources.keywords import CORPORATE, INDIVIDUAL, KeywordSet
 
 PAIR = "STRUCT<t: DOUBLE, t_minus_1: DOUBLE>"
@@ -39,14 +39,33 @@ def _occurrence_pattern(phrase: str, item: int, phrases: list, window: str, long
     return f"{inside}{_quote(phrase)}(?={window})"
 
 
+def _present(text: Column, entries: list[Column], phrases: list[str]) -> Column:
+    """The entries (structs with `ord` and `phrase`) whose phrase stands in the text, by `ord`."""
+    groups = F.array(*[F.struct(F.lit(word).alias("word"), F.array(*[entries[k] for k in members]).alias("entries"))
+                       for word, members in KeywordSet.anchors(phrases)])
+    near = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(text, g["word"])), lambda g: g["entries"]))
+    return F.array_sort(F.filter(near, lambda p: F.contains(text, p["phrase"])))
+
+
+def _leading_amounts(tokens: Column, dialect: str) -> Column:
+    """The first two tokens that are amounts, as structs (i, v). Only where one of the first two tokens with a digit is
+    no amount, the others are parsed too."""
+    with_digit = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("s"))),
+                          lambda t: F.rlike(t["s"], F.lit("[0-9]")))
+
+    def parsed(part: Column) -> Column:
+        return F.filter(F.transform(part, lambda t: F.struct(t["i"].alias("i"), parse_amount(t["s"], dialect).alias("v"))),
+                        lambda n: n["v"].isNotNull())
+    return let(with_digit, lambda ts: let(parsed(F.slice(ts, 1, V.VALUES_KEPT)), lambda head: F.when(
+        (F.size(head) == V.VALUES_KEPT) | (F.size(ts) <= V.VALUES_KEPT), head).otherwise(
+        F.slice(parsed(ts), 1, V.VALUES_KEPT))))
+
+
 def _first_values(tail: Column, item_ord: Column, guards: Column, dialect: str, tokens_kept: int) -> Column:
     """At most two amounts of the window; cut where a phrase of another item stands before the amount."""
     def scan(tokens: Column) -> Column:
-        amounts = F.filter(
-            F.transform(tokens, lambda t, i: F.struct(i.alias("i"), parse_amount(t, dialect).alias("v"))),
-            lambda n: n["v"].isNotNull())
         allowed = F.filter(
-            F.slice(amounts, 1, V.VALUES_KEPT),
+            _leading_amounts(tokens, dialect),
             lambda n: let(F.array_join(F.slice(tokens, F.lit(1), n["i"]), " "),
                           lambda before: ~F.exists(F.element_at(guards, item_ord + 1),
                                                    lambda g: F.contains(before, g))))
@@ -82,19 +101,20 @@ def extract_items(text: Column, multiplier: Column, keywords: KeywordSet = CORPO
     phrases = keywords.phrases(longest_first=service)
     window, kept = (_CHAR_WINDOW, V.SERVICE_TOKENS) if service else (_TOKEN_WINDOW, V.MODULE_TOKENS)
     exclusive = {(r.item, f"{r.prefix} {r.suffix}") for r in keywords.split_rules if r.exclusive}
-    searched, seen = [], set()
+    searched, texts, seen = [], [], set()
     for i, _, phrase, _ in phrases:
         if (keywords.item_names[i], phrase) in exclusive or (i, phrase) in seen:
             continue
         seen.add((i, phrase))
+        texts.append(phrase)
         searched.append(F.struct(
-            F.lit(i).alias("item"), F.lit(phrase).alias("phrase"),
+            F.lit(len(searched)).alias("ord"), F.lit(i).alias("item"), F.lit(phrase).alias("phrase"),
             F.lit(_occurrence_pattern(phrase, i, phrases, window, match == "longest")).alias("pattern")))
-    table = F.array(*searched) if searched else F.array().cast("array<struct<item:int,phrase:string,pattern:string>>")
     guards = F.array(*[F.array(*[F.lit(g) for g in gs]).cast("array<string>") for gs in keywords.guards()])
 
     def search(prepared: Column) -> Column:
-        present = F.filter(table, lambda p: F.contains(prepared, p["phrase"]))
+        present = (_present(prepared, searched, texts) if searched else
+                   F.array().cast("array<struct<ord:int,item:int,phrase:string,pattern:string>>"))
         windows = F.flatten(F.transform(present, lambda p: F.transform(
             F.filter(F.regexp_extract_all(prepared, p["pattern"], F.lit(1)), lambda w: F.rlike(w, F.lit("[0-9]"))),
             lambda w: F.struct(p["item"].alias("item"), w.alias("tail")))))
@@ -131,7 +151,8 @@ def annual_extract(documents: DataFrame, keywords: KeywordSet = CORPORATE, diale
 def items_long(extracted: DataFrame, items_col: str = "items") -> DataFrame:
     """One row per document and item, with columns t and t_minus_1."""
     keep = [c for c in extracted.columns if c != items_col]
-    return (extracted.select(*keep, F.explode(items_col).alias("item", "pair"))
+    # outer: a plain explode makes the optimizer evaluate the map once more in a filter below it
+    return (extracted.select(*keep, F.explode_outer(items_col).alias("item", "pair")).where(F.col("item").isNotNull())
             .select(*keep, "item", F.col("pair.t").alias("t"), F.col("pair.t_minus_1").alias("t_minus_1")))
 
 
@@ -150,8 +171,8 @@ def two_values(text: Column, keywords: KeywordSet = CORPORATE) -> Column:
     on, the next amounts of the whole text are taken; values of an item add up over its spellings.
     """
     runs = keywords.phrases()
-    table = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(p).alias("phrase"),
-                               F.lit(min(n, V.VALUES_KEPT)).alias("times")) for i, _, p, n in runs])
+    entries = [F.struct(F.lit(k).alias("ord"), F.lit(i).alias("item"), F.lit(p).alias("phrase"),
+                        F.lit(min(n, V.VALUES_KEPT)).alias("times")) for k, (i, _, p, n) in enumerate(runs)]
 
     def search(prepared: Column) -> Column:
         numbers = F.filter(
@@ -159,7 +180,7 @@ def two_values(text: Column, keywords: KeywordSet = CORPORATE) -> Column:
                                  lambda t: F.rlike(t["s"], F.lit("[0-9]"))),
                         lambda t: F.struct(t["i"].alias("i"), parse_amount(t["s"]).alias("v"))),
             lambda n: n["v"].isNotNull())
-        present = F.filter(table, lambda p: F.contains(prepared, p["phrase"]))
+        present = _present(prepared, entries, [p for _, _, p, _ in runs])
 
         def collect(hits: Column, nums: Column) -> Column:
             top = F.filter(hits, lambda h: ~F.exists(
@@ -189,7 +210,8 @@ def two_values(text: Column, keywords: KeywordSet = CORPORATE) -> Column:
                         F.get(e["value"], F.lit(0)).alias("val1"), F.get(e["value"], F.lit(1)).alias("val2"))
                         .alias("value"))))
             return let(per_phrase, by_item)
-        return let(present, lambda h: let(numbers, lambda n: collect(h, n)))
+        none = F.array().cast("array<struct<i:int,v:double>>")
+        return let(present, lambda h: let(F.when(F.size(h) > 0, numbers).otherwise(none), lambda n: collect(h, n)))
     return let(F.coalesce(document_form(text), F.lit("")), search)
 
 
@@ -198,6 +220,13 @@ def two_value_extract(documents: DataFrame, keywords: KeywordSet = CORPORATE, te
     return documents.withColumn("items", two_values(F.col(text_col), keywords)).drop(text_col)
 
 
+def two_values_long(extracted: DataFrame, items_col: str = "items") -> DataFrame:
+    """One row per document and found item, with columns val1 and val2."""
+    keep = [c for c in extracted.columns if c != items_col]
+    return (extracted.select(*keep, F.explode_outer(items_col).alias("item", "pair")).where(F.col("item").isNotNull())
+            .select(*keep, "item", "pair.val1", "pair.val2"))
+
+
 def parse_documents(documents: DataFrame, custom: KeywordSet | None = None, dialect: str = "service",
                     output_format: str = "text", match: str = "substring") -> DataFrame:
     """Whole document pipeline: keyword choice, year, multiplier, items and the result envelope.
@@ -205,10 +234,9 @@ def parse_documents(documents: DataFrame, custom: KeywordSet | None = None, dial
     Input: path STRING, text STRING (an 'Error...' text marks a failed reader), applicant_type STRING,
     file_type STRING, and for `output_format='structured_json'` optionally `structured` (items read from a reply).
     """
-    failed = F.startswith(F.lower(F.col("text")), F.lit("error"))
-    blank = strip(F.coalesce(F.col("text"), F.lit(""))) == ""
-    usable = ~F.coalesce(failed, F.lit(False)) & ~blank
-    prepared = documents.withColumns({
+    failed = F.coalesce(F.lower(F.substring("text", 1, 5)) == "error", F.lit(False))
+    blank, usable = F.coalesce(is_blank(F.col("text")), F.lit(True)), F.col("usable")
+    prepared = documents.withColumn("usable", ~failed & ~blank).withColumns({
         "error_parsing": F.when(failed, F.col("text")),
         "detected_year": F.when(usable, report_year(F.col("text"))),
         "detected_multiplier": F.when(usable, unit_multiplier(F.col("text"))).otherwise(F.lit(1.0)),
@@ -224,7 +252,7 @@ def parse_documents(documents: DataFrame, custom: KeywordSet | None = None, dial
     info = F.concat(
         F.lit("Jenis Pengaju: "), F.coalesce(F.col("applicant_type"), F.lit("korporat")), F.lit(", File Type: "),
         F.coalesce(F.col("file_type"), F.lit("")), F.lit("; Using "), used, F.lit(" keywords"),
-        F.when(blank & F.col("error_parsing").isNull(), F.lit("; Teks yang diekstrak kosong.")).otherwise(F.lit("")))
+        F.when(~usable & F.col("error_parsing").isNull(), F.lit("; Teks yang diekstrak kosong.")).otherwise(F.lit("")))
     extracted = prepared.withColumns({"info_parsing": info, "text_items": F.when(usable, items)})
     common = [base_name(F.col("path")).alias("nama_file"), "info_parsing", "error_parsing"]
     if output_format == "text":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
-from ledgermill.functions.text import collapse_spaces, is_parent_page, strip
+from ledgermill.functions.text import collapse_spaces, is_blank, is_parent_page, strip
 
 
 def _joined(rows: Column, field: str, separator: str) -> Column:
@@ -18,7 +18,7 @@ def lines_from_words(words: DataFrame) -> DataFrame:
     """Word rows (doc_id, page, block, par, line, word_ord, level, text) to one row per non-empty line.
 
     One group is one printed line, whose text is the output itself."""
-    kept = words.where((F.col("level") == 5) & (strip(F.col("text")) != ""))
+    kept = words.where((F.col("level") == 5) & ~is_blank(F.col("text")))
     lines = (kept.groupBy("doc_id", "page", "block", "par", "line")
              .agg(F.collect_list(F.struct("word_ord", strip(F.col("text")).alias("text"))).alias("words")))
     return (lines.withColumn("line_text", collapse_spaces(_joined(F.col("words"), "text", " ")))
@@ -32,7 +32,7 @@ def lines_from_blocks(blocks: DataFrame, gap: int = V.LINE_GAP) -> DataFrame:
     Blocks of one height never part, so they are joined per (doc_id, y_min) first; only the distinct heights of a page
     image reach the window.
     """
-    rows = (blocks.where(strip(F.col("text")) != "").groupBy("doc_id", "y_min")
+    rows = (blocks.where~is_blank(F.col("text")).groupBy("doc_id", "y_min")
             .agg(F.collect_list(F.struct("x_min", "seq", "text")).alias("row")))
     rows = rows.withColumn("row", _joined(F.col("row"), "text", " "))
     order = W.partitionBy("doc_id").orderBy("y_min")

@@ -5,12 +5,14 @@ Boxes: doc_id, seq (position in the word list, 0..n-1 without gaps), text, x0, y
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
 from ledgermill.functions.amounts import maybe_numeric, parse_amount
-from ledgermill.functions.text import let, strip
+from ledgermill.functions.text import strip
 from ledgermill.sources.keywords import CORPORATE, KeywordSet
 
 _PUNCTUATION = r"(?U)[^\w\s]"
@@ -24,53 +26,39 @@ def _clean(word):
 
 def phrase_hits(boxes: DataFrame, keywords: KeywordSet = CORPORATE) -> DataFrame:
     """Every place where the words of a variation stand in a row: doc_id, item, var_ord, seq, words, geometry."""
-    runs: dict[int, dict] = {}
+    runs: dict[tuple, list] = {}
     for item, var_ord, phrase, _ in keywords.phrases():
-        tokens = phrase.split()
-        runs.setdefault(len(tokens), {}).setdefault(tuple(tokens), []).append((item, var_ord))
-    longest = max(runs)
+        runs.setdefault(tuple(phrase.split()), []).append((item, var_ord))
+    longest = max(len(tokens) for tokens in runs)
     # A document is cut into chunks, and a chunk also gets the first words of the next one, so that a phrase across
     # the cut is seen whole and no document is one task.
+    words = F.array(*[F.lit(w) for w in _clean_literals([w for tokens in runs for w in tokens])])
     own = F.floor(F.col("seq") / SEQ_CHUNK)
     chunks = F.when((F.col("seq") % SEQ_CHUNK < longest - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    placed = boxes.select("doc_id", "seq", _clean(F.col("text")).alias("word"), "x0", "y0", "x1", "y1",
-                          own.alias("own"), F.explode(chunks).alias("chunk"))
-    order = W.partitionBy("doc_id", "chunk").orderBy("seq")
-    ahead = placed.withColumns({
-        "next": F.array(*[F.struct(*[F.lead(c, k).over(order).alias(c) for c in ("seq", "word", "x1", "y0", "y1")])
-                          for k in range(1, longest)]) if longest > 1 else
-        F.array().cast("array<struct<seq:bigint,word:string,x1:double,y0:double,y1:double>>"),
-    }).where(F.col("own") == F.col("chunk"))
-    candidates = []
-    for n, table in sorted(runs.items()):
-        for tokens, uses in table.items():
-            cleaned = [t for t in tokens]
-            for item, var_ord in uses:
-                candidates.append(F.struct(F.lit(item).alias("item"), F.lit(var_ord).alias("var_ord"),
-                                           F.array(*[F.lit(t) for t in cleaned]).alias("raw"), F.lit(n).alias("words")))
-    table = F.array(*candidates)
-    cleaned_table = F.transform(table, lambda c: F.struct(
-        c["item"].alias("item"), c["var_ord"].alias("var_ord"), c["words"].alias("words"),
-        F.transform(c["raw"], _clean).alias("words_clean")))
-    following = F.filter(F.col("next"), lambda n: n["word"].isNotNull())
-    sequence = F.concat(F.array("word"), F.transform(following, lambda n: n["word"]))
-    first_words = sorted({p.split()[0] for _, _, p, _ in keywords.phrases()})
-    opens = ahead.where(F.col("word").isin([w for w in _clean_literals(first_words)]))
-    hits = opens.withColumn("sequence", sequence).withColumn("hit", F.explode(F.filter(
-        cleaned_table, lambda c: F.slice(F.col("sequence"), F.lit(1), c["words"]) == c["words_clean"])))
-    last = F.when(F.col("hit.words") > 1, F.get(F.col("next"), F.col("hit.words") - 2))
+    # Only words of some phrase can be part of a hit; the others do not enter the shuffle.
+    placed = (boxes.withColumn("word", _clean(F.col("text"))).where(F.array_contains(words, F.col("word")))
+              .select("doc_id", "seq", "word", "x0", "y0", "x1", "y1", own.alias("own"), F.explode(chunks).alias("chunk")))
+    order = W.partitionBy("doc_id", "chunk").orderBy("seq").rowsBetween(0, longest - 1)
+    c = F.col
+    ahead = (placed.withColumn("ahead", F.collect_list(F.struct("seq", "word", "x1", "y0", "y1")).over(order))
+             .where(c("own") == c("chunk")).select("doc_id", "seq", "x0", "ahead"))
+    row = F.transform(F.filter("ahead", lambda a, i: a["seq"] == c("seq") + i), lambda a: a["word"])
+    table = F.array(*[
+        F.struct(F.lit(item).alias("item"), F.lit(var_ord).alias("var_ord"), F.lit(len(tokens)).alias("words"),
+                 F.array(*[F.lit(w) for w in _clean_literals(tokens, ordered=True)]).alias("tokens"))
+        for tokens, uses in sorted(runs.items()) for item, var_ord in uses])
+    hits = ahead.withColumn("row", row).withColumn("hit", F.explode(F.filter(
+        table, lambda t: F.slice(c("row"), F.lit(1), t["words"]) == t["tokens"])))
+    last = F.get("ahead", c("hit.words") - 1)
     return hits.select(
-        "doc_id", F.col("hit.item").alias("item"), F.col("hit.var_ord").alias("var_ord"), "seq",
-        F.col("hit.words").alias("words"),
-        F.coalesce(last["x1"], F.col("x1")).alias("right"),
-        (F.coalesce(last["x1"], F.col("x1")) - F.col("x0")).alias("width"),
-        (F.coalesce(last["y1"], F.col("y1")) - F.coalesce(last["y0"], F.col("y0"))).alias("height"),
-        ((F.coalesce(last["y0"], F.col("y0")) + F.coalesce(last["y1"], F.col("y1"))) / 2).alias("centre"))
+        "doc_id", c("hit.item").alias("item"), c("hit.var_ord").alias("var_ord"), "seq", c("hit.words").alias("words"),
+        last["x1"].alias("right"), (last["x1"] - c("x0")).alias("width"), (last["y1"] - last["y0"]).alias("height"),
+        ((last["y0"] + last["y1"]) / 2).alias("centre"))
 
 
-def _clean_literals(words: list[str]) -> list[str]:
-    import re
-    return sorted({re.sub(r"[^\w\s]", "", w.lower()) for w in words})
+def _clean_literals(words, ordered: bool = False) -> list[str]:
+    cleaned = [re.sub(r"[^\w\s]", "", w.lower()) for w in words]
+    return cleaned if ordered else sorted(set(cleaned))
 
 
 def nearest_amounts(hits: DataFrame, boxes: DataFrame, keywords: KeywordSet = CORPORATE) -> DataFrame:

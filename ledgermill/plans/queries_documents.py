@@ -57,8 +57,7 @@ def annual_extract_longest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_value_extract(spark: SparkSession, sf: str) -> DataFrame:
-    found = X.two_value_extract(D.filed_documents(spark, sf))
-    return found.select("doc_id", F.explode("items").alias("item", "v")).select("doc_id", "item", "v.val1", "v.val2")
+    return X.two_values_long(X.two_value_extract(D.filed_documents(spark, sf)))
 
 
 def split_phrase_extract(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,6 +58,21 @@ class KeywordSet:
                     out.append((i, k, phrase, 1))
         return out
 
+    @staticmethod
+    def anchors(phrases: Sequence[str]) -> list[tuple[str, list[int]]]:
+        """Words that cover the phrases, each with the positions of the phrases that it stands for. A text without the
+        word has none of them, so most texts are searched for a dozen words instead of all phrases."""
+        left, out = set(range(len(phrases))), []
+        while left:
+            words: dict[str, set[int]] = {}
+            for k in left:
+                for word in phrases[k].split(" "):
+                    words.setdefault(word, set()).add(k)
+            best = max(sorted(words), key=lambda w: (len(words[w]), len(w)))
+            out.append((best, sorted(words[best])))
+            left -= words[best]
+        return out
+
     def guards(self) -> list[list[str]]:
         """Per item the phrases of all other items; one that contains another listed phrase is redundant."""
         lower = [[v.lower() for v in vs] for _, vs in self.items]
