@@ -32,7 +32,7 @@ def lines_from_blocks(blocks: DataFrame, gap: int = V.LINE_GAP) -> DataFrame:
     Blocks of one height never part, so they are joined per (doc_id, y_min) first; only the distinct heights of a page
     image reach the window.
     """
-    rows = (blocks.where~is_blank(F.col("text")).groupBy("doc_id", "y_min")
+    rows = (blocks.where(~is_blank(F.col("text"))).groupBy("doc_id", "y_min")
             .agg(F.collect_list(F.struct("x_min", "seq", "text")).alias("row")))
     rows = rows.withColumn("row", _joined(F.col("row"), "text", " "))
     order = W.partitionBy("doc_id").orderBy("y_min")
