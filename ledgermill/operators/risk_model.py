@@ -43,7 +43,10 @@ class RiskModel:
 
 def statement_features(pairs: DataFrame, sector: str = "sector") -> DataFrame:
     """Model features from statement pairs (items, items_t1): the ratios that can be derived from the items."""
-    now, old = ItemReader.of(pairs, "items"), ItemReader.of(pairs, "items_t1")
+    loaded, now = ItemReader.load(pairs, "items", [
+        V.CURRENT_ASSETS, V.CURRENT_LIABILITIES, V.LIABILITIES, V.EQUITY, V.NET_INCOME, V.SALES, V.ASSETS, V.PRETAX,
+        V.INTEREST])
+    loaded, old = ItemReader.load(loaded, "items_t1", [V.SALES])
     n = now.number
     ebit = n(V.PRETAX) + n(V.INTEREST)
     derived = {
@@ -57,7 +60,7 @@ def statement_features(pairs: DataFrame, sector: str = "sector") -> DataFrame:
         "OperatingMargin": F.try_divide(ebit, n(V.SALES)),
     }
     keep = [c for c in pairs.columns if c not in ("items", "items_t1", sector)]
-    return pairs.select(*keep, *[v.alias(k) for k, v in derived.items()], F.col(sector).alias(V.SECTOR))
+    return loaded.select(*keep, *[v.alias(k) for k, v in derived.items()], F.col(sector).alias(V.SECTOR))
 
 
 def select_features(table: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

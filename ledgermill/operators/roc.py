@@ -18,9 +18,10 @@ COUNT = "decimal(38,0)"
 
 
 def _per_score(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts per score, computed once: the ordered pass reads them several times."""
     hit = F.col("hit").cast("int")
-    return scored.groupBy(*keys, "score").agg(
-        F.sum(hit).cast("bigint").alias("p"), F.sum(1 - hit).cast("bigint").alias("n"))
+    return materialise(scored.groupBy(*keys, "score").agg(
+        F.sum(hit).cast("bigint").alias("p"), F.sum(1 - hit).cast("bigint").alias("n")))
 
 
 def _points(per_score: DataFrame, keys: Sequence[str], drop_collinear: bool) -> DataFrame:
@@ -134,9 +135,10 @@ def multiclass_auc(predictions: DataFrame, classes: Sequence[str], label: str =
     pairs = F.when(hit, others).otherwise(F.array(curve("ovo", c("class"), c("label"))))
     curves = F.concat(F.array(curve("class", c("class"), F.lit("")), curve("micro", F.lit(""), F.lit(""))), pairs)
     keys = ["kind", "a", "b"]
-    per_score = counts.select("score", "rows", hit.alias("hit"), F.inline(curves)).groupBy(*keys, "score").agg(
-        F.sum(F.when(c("hit"), c("rows")).otherwise(0)).alias("p"),
-        F.sum(F.when(c("hit"), 0).otherwise(c("rows"))).alias("n"))
+    per_score = materialise(
+        counts.select("score", "rows", hit.alias("hit"), F.inline(curves)).groupBy(*keys, "score").agg(
+            F.sum(F.when(c("hit"), c("rows")).otherwise(0)).alias("p"),
+            F.sum(F.when(c("hit"), 0).otherwise(c("rows"))).alias("n")))
     areas = _areas(per_score, keys)
     directed = c("kind") == "ovo"
     pooled = areas.groupBy("kind", F.when(directed, F.least("a", "b")).otherwise(c("a")).alias("a"),
@@ -156,7 +158,6 @@ def multiclass_auc(predictions: DataFrame, classes: Sequence[str], label: str =
            ).select("measure", none.alias("class"), "auc")))
     if not macro:
         return out
-    by_class = counts.groupBy("class", "score").agg(
-        F.sum(F.when(hit, c("rows")).otherwise(0)).alias("p"), F.sum(F.when(hit, 0).otherwise(c("rows"))).alias("n"))
+    by_class = per_score.where(c("kind") == "class").select(c("a").alias("class"), "score", "p", "n")
     return out.unionByName(curve_area(macro_curve(by_class, classes))
                            .select(F.lit("macro").alias("measure"), none.alias("class"), "auc"))

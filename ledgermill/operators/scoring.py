@@ -30,10 +30,9 @@ def altman(table: DataFrame, is_public: Column | None = None, override: Column |
         "_model": altman_model(is_public, override),
         "_market": F.when(override.isNotNull() | is_public, market_value),
     })
-    r = ItemReader.of(table, items).with_override(V.EQUITY, F.col("_market"))
+    inputs, r = ItemReader.load(inputs, items, V.ALTMAN_REQUIRED, {V.EQUITY: F.col("_market")})
     numbers = inputs.withColumns({
         "_missing": r.first_missing(V.ALTMAN_REQUIRED),
-        "_failed": F.coalesce(*[F.when(r.failed(n), F.lit(n)) for n in V.ALTMAN_REQUIRED]),
         "_failed_text": r.first_failed([V.CURRENT_ASSETS, V.CURRENT_LIABILITIES, V.ASSETS, V.RETAINED, V.PRETAX,
                                         V.INTEREST, V.EQUITY, V.LIABILITIES, V.SALES]),
         "_working": r.number(V.CURRENT_ASSETS) - r.number(V.CURRENT_LIABILITIES),
@@ -44,7 +43,7 @@ def altman(table: DataFrame, is_public: Column | None = None, override: Column |
     known = F.col("_model").isin(*V.ALTMAN_MODELS)
     error = (
         F.when(F.col("_missing").isNotNull(), F.concat(F.lit("Missing item in data_t for Z-Score: "), F.col("_missing")))
-        .when(F.col("_failed").isNotNull(), F.concat(
+        .when(F.col("_failed_text").isNotNull(), F.concat(
             F.lit("ValueError, data Z-Score tidak dapat dikonversi ke float: "), F.col("_failed_text")))
         .when(F.col("_assets") == 0, F.lit("Total Assets cannot be zero for Z-Score calculation."))
         .when(~known, F.concat(
@@ -102,7 +101,8 @@ def _ratio_index(now: Column, before: Column) -> Column:
 
 def beneish(pairs: DataFrame, items: str = "items", items_t1: str = "items_t1") -> DataFrame:
     """Add `beneish`: STRUCT(m_score, dsri, gmi, aqi, sgi, depi, sgai, lvgi, tata, interpretation, error)."""
-    now, old = ItemReader.of(pairs, items), ItemReader.of(pairs, items_t1)
+    loaded, now = ItemReader.load(pairs, items, V.BENEISH_REQUIRED_T)
+    loaded, old = ItemReader.load(loaded, items_t1, V.BENEISH_REQUIRED_T1)
     order_t = [V.RECEIVABLES, V.SALES, V.GROSS_PROFIT, V.ASSETS, V.DEPRECIATION, V.PPE_GROSS, V.SELLING, V.ADMIN,
                V.LIABILITIES, V.NET_INCOME, V.OPERATING_CASH, V.CURRENT_ASSETS, V.PPE_NET]
     order_t1 = [n for n in order_t if n not in (V.NET_INCOME, V.OPERATING_CASH)]
@@ -121,7 +121,7 @@ def beneish(pairs: DataFrame, items: str = "items", items_t1: str = "items_t1")
     cols["_sga"] = now.number(V.SELLING) + now.number(V.ADMIN)
     cols["_sga0"] = old.number(V.SELLING) + old.number(V.ADMIN)
     cols["_income"], cols["_cfo"] = now.number(V.NET_INCOME), now.number(V.OPERATING_CASH)
-    base = pairs.withColumns(cols)
+    base = loaded.withColumns(cols)
     c = F.col
     no_sales = (c("_sales") == 0) | (c("_sales0") == 0)
     no_assets = (c("_assets") == 0) | (c("_assets0") == 0)
@@ -165,10 +165,10 @@ def beneish(pairs: DataFrame, items: str = "items", items_t1: str = "items_t1")
 
 def common_ratios(table: DataFrame, items: str = "items") -> DataFrame:
     """Add `ratios`: STRUCT of six ratios with their notes and one error. Infinite values are kept."""
-    r = ItemReader.of(table, items)
+    loaded, r = ItemReader.load(table, items, [*V.RATIO_REQUIRED, V.GROSS_PROFIT, V.ASSETS])
     checked = [V.LIABILITIES, V.EQUITY, V.CURRENT_ASSETS, V.CURRENT_LIABILITIES, V.PRETAX, V.INTEREST,
                V.NET_INCOME, V.SALES]
-    base = table.withColumns({
+    base = loaded.withColumns({
         "_error": F.coalesce(
             F.concat(F.lit("Missing items in data_t for financial ratios: "), r.all_missing(V.RATIO_REQUIRED)),
             F.concat(F.lit("ValueError, data tidak dapat dikonversi ke float untuk rasio: "), r.first_failed(checked))),
@@ -220,12 +220,13 @@ def common_ratios(table: DataFrame, items: str = "items") -> DataFrame:
 
 def growth_returns(pairs: DataFrame, items: str = "items", items_t1: str = "items_t1") -> DataFrame:
     """Add `returns`: STRUCT(roe, roa_ebit, sales_growth); null where an input is absent or a divisor is 0."""
-    now, old = ItemReader.of(pairs, items), ItemReader.of(pairs, items_t1)
+    loaded, now = ItemReader.load(pairs, items, [V.PRETAX, V.INTEREST, V.NET_INCOME, V.EQUITY, V.ASSETS, V.SALES])
+    loaded, old = ItemReader.load(loaded, items_t1, [V.SALES])
     ebit = now.number(V.PRETAX) + now.number(V.INTEREST)
-    return pairs.withColumn("returns", F.struct(
+    return loaded.select(*pairs.columns, F.struct(
         F.try_divide(now.number(V.NET_INCOME), now.number(V.EQUITY)).alias("roe"),
         F.try_divide(ebit, now.number(V.ASSETS)).alias("roa_ebit"),
-        (F.try_divide(now.number(V.SALES), old.number(V.SALES)) - 1).alias("sales_growth")))
+        (F.try_divide(now.number(V.SALES), old.number(V.SALES)) - 1).alias("sales_growth")).alias("returns"))
 
 
 def combined_error(altman_: Column, beneish_: Column, has_t1: Column, ml_error: Column | None = None) -> Column:

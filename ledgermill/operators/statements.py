@@ -6,7 +6,7 @@ value and NaN stay three different things.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ledgermill import fixed_values as V
 from ledgermill.functions.amounts import to_double
+from ledgermill.functions.text import let
 
 
 def canonical_name(item: Column, aliases: Mapping[str, str] = V.ALIASES) -> Column:
@@ -45,60 +46,73 @@ def canonical_map(items: Column, aliases: Mapping[str, str] = V.ALIASES) -> Colu
     def keep_last(es: Column) -> Column:
         last = F.filter(es, lambda e: ~F.exists(es, lambda o: (o["key"] == e["key"]) & (o["pos"] > e["pos"])))
         return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    from ledgermill.functions.text import let
     return F.when(F.size(items) > 0, let(entries, keep_last))
 
 
 def period_pairs(table: DataFrame, columns: tuple[str, ...] = ("items",), step: int = 1) -> DataFrame:
-    """Left join of every statement with the one exactly `step` periods earlier, as `<column>_t1`.
+    """Pair every statement with the one exactly `step` periods earlier, as `<column>_t1` (null if there is none).
 
-    Both sides are unique on (company, period), so no key is hot however large a company is.
+    Every row is sent to its own period and, as the earlier one, to a later period; one grouping on the unique
+    (company, period) brings them together. The input is read once, where a self-join would compute it twice, and no
+    key is hot however large a company is.
     """
-    earlier = table.select(F.col("company"), (F.col("period") + step).alias("period"),
-                           *[F.col(c).alias(f"{c}_t1") for c in columns])
-    return table.join(earlier, ["company", "period"], "left")
+    others = [c for c in table.columns if c not in ("company", "period")]
+
+    def role(period: Column, now: bool) -> Column:
+        kept = F.struct(*others) if now else F.lit(None)
+        old = F.lit(None) if now else F.struct(*columns)
+        return F.struct(period.alias("period"), kept.alias("now"), old.alias("old"))
+    roles = F.array(role(F.col("period"), True), role(F.col("period") + step, False))
+    paired = table.select("company", F.inline(roles)).groupBy("company", "period").agg(
+        F.any_value("now", ignoreNulls=True).alias("now"), F.any_value("old", ignoreNulls=True).alias("old"))
+    return paired.where(F.col("now").isNotNull()).select(
+        *[c if c in ("company", "period") else F.col(f"now.{c}").alias(c) for c in table.columns],
+        *[F.col(f"old.{c}").alias(f"{c}_t1") for c in columns])
 
 
 class ItemReader:
-    """Presence, raw text and number of the items of a map column."""
+    """Presence, raw value and number of the items of a map column.
+
+    `load` looks every item up once and keeps it in a work column; a missing key and a null value differ only where the
+    looked-up value is null, so the keys are searched only there."""
 
-    def __init__(self, items: Column, data_type: T.MapType):
-        self.items, self.text = items, isinstance(data_type.valueType, T.StringType)
+    def __init__(self, items: Column, text: bool, raw: Mapping[str, Column], overrides: Mapping[str, Column] = {}):
+        self.items, self.text, self._raw, self.overrides = items, text, raw, overrides
 
     @classmethod
-    def of(cls, table: DataFrame, column: str = "items") -> "ItemReader":
-        return cls(F.col(column), table.schema[column].dataType)
-
-    def with_override(self, name: str, value: Column) -> "ItemReader":
-        """Reader that takes `value` where it is not null and the item exists."""
-        reader = ItemReader(self.items, T.MapType(T.StringType(), T.StringType() if self.text else T.DoubleType()))
-        base = self.number
-        reader.number = lambda n: (F.when(value.isNotNull() & self.present(n), value).otherwise(base(n))
-                                   if n == name else base(n))
-        reader.failed = lambda n: ((self.failed(n) & value.isNull()) if n == name else self.failed(n))
-        return reader
+    def load(cls, table: DataFrame, column: str, names: Sequence[str],
+             overrides: Mapping[str, Column] = {}) -> tuple[DataFrame, "ItemReader"]:
+        """The table with one work column per item, and the reader. An override replaces an existing item's number."""
+        work = {name: f"_{column}_{k}" for k, name in enumerate(dict.fromkeys(names))}
+        loaded = table.withColumns({w: F.col(column)[name] for name, w in work.items()})
+        text = isinstance(table.schema[column].dataType.valueType, T.StringType)
+        return loaded, cls(F.col(column), text, {n: F.col(w) for n, w in work.items()}, overrides)
 
     def present(self, name: str) -> Column:
-        return F.coalesce(F.map_contains_key(self.items, F.lit(name)), F.lit(False))
+        return self._raw[name].isNotNull() | F.coalesce(F.map_contains_key(self.items, F.lit(name)), F.lit(False))
 
     def raw(self, name: str) -> Column:
-        return F.try_element_at(self.items, F.lit(name))
+        return self._raw[name]
 
     def number(self, name: str) -> Column:
-        return to_double(self.raw(name)) if self.text else self.raw(name)
+        plain = to_double(self._raw[name]) if self.text else self._raw[name]
+        if name not in self.overrides:
+            return plain
+        given = self.overrides[name]
+        return F.when(given.isNotNull() & self.present(name), given).otherwise(plain)
 
     def failed(self, name: str) -> Column:
         """Present but not a number."""
-        return self.present(name) & self.number(name).isNull()
+        return self.number(name).isNull() & self.present(name)
 
-    def first_missing(self, names: list[str]) -> Column:
+    def first_missing(self, names: Sequence[str]) -> Column:
         return F.coalesce(*[F.when(~self.present(n), F.lit(n)) for n in names])
 
-    def all_missing(self, names: list[str]) -> Column:
+    def all_missing(self, names: Sequence[str]) -> Column:
         gaps = F.concat_ws(", ", *[F.when(~self.present(n), F.lit(n)) for n in names])
         return F.when(gaps != "", gaps)
 
-    def first_failed(self, names: list[str]) -> Column:
+    def first_failed(self, names: Sequence[str]) -> Column:
         """Message for the first item that is not a number."""
         def message(name: str) -> Column:
             shown = self.raw(name).cast("string")

@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores. A file of one row group is one task however many cores there are; an input
+    with enough bytes for every core has enough splits and is left as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else rows
+
+
 def _cents(name: str) -> Column:
     return F.round(F.col(name) * 100).cast("bigint")
 
@@ -88,7 +99,7 @@ def amount_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(text, F.lit("."), two), F.concat(F.lit("-"), text, F.lit(","), four),
         F.concat(F.lit("Catatan "), text, F.lit(" juta")),
     ]
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", whole.alias("whole"), part.cast("bigint").alias("part"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", whole.alias("whole"), part.cast("bigint").alias("part"))
     return rows.select("o_orderkey", F.get(F.array(*layouts), F.pmod("o_orderkey", F.lit(7)).cast("int")).alias("amount_text"))
 
 
@@ -108,7 +119,7 @@ def filed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(") "), F.format_number(d + 2, 0), F.lit("\nJumlah Aset Lancar: "), F.format_number(n * 11 + 5, 0), F.lit(" "),
         F.format_number(n * 10 + 5, 0), F.lit("\nTotal   aset "), F.format_number(n * 20 + 7, 0), F.lit(" "),
         F.format_number(n * 19 + 7, 0), F.lit("\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(cycle(d, UNIT_HEADERS), lines, c("text")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")).select("doc_id", F.concat(cycle(d, UNIT_HEADERS), lines, c("text")).alias("text"))
 
 
 def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +141,8 @@ def order_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         box(7, F.concat(cust, F.lit("abc")), 66, 40, 20), box(8, "ekuitas", 0, 80, 50), box(9, F.concat(F.lit("7"), cust),
                                                                                              51, 80 + drop, 30),
         box(10, F.concat(F.lit("8"), cust), 52, 80, 30))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.inline(boxes))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(
+        k.alias("doc_id"), F.inline(boxes))
 
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +154,8 @@ def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("pos").cast("bigint")
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
     return words.select(
         "doc_id", F.floor(p / 400).alias("page"), F.pmod(F.floor(p / 80), F.lit(5)).alias("block"),
         F.pmod(F.floor(p / 40), F.lit(2)).alias("par"), F.pmod(F.floor(p / 8), F.lit(5)).alias("line"),
@@ -194,7 +207,7 @@ def order_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(V.EQUITY).alias("key"), pair(F.pmod(k, F.lit(10))).alias("value")),
         F.struct(F.lit("info_sumber").alias("key"), pair(F.lit(1)).alias("value")))
     items = F.map_from_entries(F.filter(entries, lambda e: (e["key"] != V.EQUITY) | (F.pmod(k, F.lit(4)) != 1)))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")).select(
         F.concat(F.lit("doc_"), k.cast("string"), F.lit(".pdf")).alias("nama_file"), items.alias("items"),
         F.when(F.pmod(k, F.lit(50)) == 7, F.lit("Error: rusak")).alias("error_flag"),
         F.when(F.pmod(k, F.lit(50)) == 8, F.lit("teks kosong")).otherwise(F.lit("ok")).alias("info_parsing"))

@@ -39,7 +39,7 @@ def report_years(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id")
     text = F.concat(D.cycle(d, D.YEAR_HEADERS), (F.pmod(d * 7, F.lit(160)) + 1950).cast("string"), F.lit(", halaman 12.2031\n"),
                     F.col("text"))
-    return D.table(spark, sf, "documents").select("doc_id", report_year(text).alias("report_year"))
+    return D.spread(D.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", report_year(text).alias("report_year"))
 
 
 def _annual(spark: SparkSession, sf: str, **options) -> DataFrame:
