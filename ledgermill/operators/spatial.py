@@ -15,6 +15,7 @@ from ledgermill.functions.amounts import maybe_numeric, parse_amount
 from ledgermill.functions.text import strip
 from ledgermill.sources.keywords import CORPORATE, KeywordSet
 
+_END = "\x01"
 _PUNCTUATION = r"(?U)[^\w\s]"
 SEQ_CHUNK = 8192          # words per chunk of a document; neighbouring chunks overlap by a phrase length
 CELL_WIDTH, CELL_HEIGHT = 512.0, 32.0
@@ -42,13 +43,17 @@ def phrase_hits(boxes: DataFrame, keywords: KeywordSet = CORPORATE) -> DataFrame
     c = F.col
     ahead = (placed.withColumn("ahead", F.collect_list(F.struct("seq", "word", "x1", "y0", "y1")).over(order))
              .where(c("own") == c("chunk")).select("doc_id", "seq", "x0", "ahead"))
-    row = F.transform(F.filter("ahead", lambda a, i: a["seq"] == c("seq") + i), lambda a: a["word"])
+    # Words are compared as one text with a separator that no word contains.
+    opening = F.array(*[F.lit(w) for w in sorted({_clean_literals(t, ordered=True)[0] for t in runs})])
+    row = F.concat(F.array_join(F.transform(F.filter("ahead", lambda a, i: a["seq"] == c("seq") + i),
+                                            lambda a: a["word"]), _END), F.lit(_END))
     table = F.array(*[
         F.struct(F.lit(item).alias("item"), F.lit(var_ord).alias("var_ord"), F.lit(len(tokens)).alias("words"),
-                 F.array(*[F.lit(w) for w in _clean_literals(tokens, ordered=True)]).alias("tokens"))
+                 F.lit("".join(w + _END for w in _clean_literals(tokens, ordered=True))).alias("run"))
         for tokens, uses in sorted(runs.items()) for item, var_ord in uses])
-    hits = ahead.withColumn("row", row).withColumn("hit", F.explode(F.filter(
-        table, lambda t: F.slice(c("row"), F.lit(1), t["words"]) == t["tokens"])))
+    hits = (ahead.where(F.array_contains(opening, F.get("ahead", F.lit(0))["word"])).withColumn("row", row)
+            .withColumn("hit", F.explode_outer(F.filter(table, lambda t: F.startswith(c("row"), t["run"]))))
+            .where(c("hit").isNotNull()))
     last = F.get("ahead", c("hit.words") - 1)
     return hits.select(
         "doc_id", c("hit.item").alias("item"), c("hit.var_ord").alias("var_ord"), "seq", c("hit.words").alias("words"),

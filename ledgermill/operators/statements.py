@@ -71,54 +71,63 @@ def period_pairs(table: DataFrame, columns: tuple[str, ...] = ("items",), step:
 
 
 class ItemReader:
-    """Presence, raw value and number of the items of a map column.
+    """Presence and number of the items of a map column.
 
-    `load` looks every item up once and keeps it in a work column; a missing key and a null value differ only where the
-    looked-up value is null, so the keys are searched only there."""
+    `load` reads all items of one operator in one array expression per row. The per-item expressions are then plain
+    array accesses, which keeps the generated code of the long score formulas small enough to be compiled."""
 
-    def __init__(self, items: Column, text: bool, raw: Mapping[str, Column], overrides: Mapping[str, Column] = {}):
-        self.items, self.text, self._raw, self.overrides = items, text, raw, overrides
+    def __init__(self, items: Column, text: bool, position: Mapping[str, int], numbers: Column,
+                 overrides: Mapping[str, Column]):
+        self.items, self.text, self.position, self.numbers, self.overrides = items, text, position, numbers, overrides
 
     @classmethod
     def load(cls, table: DataFrame, column: str, names: Sequence[str],
              overrides: Mapping[str, Column] = {}) -> tuple[DataFrame, "ItemReader"]:
-        """The table with one work column per item, and the reader. An override replaces an existing item's number."""
-        work = {name: f"_{column}_{k}" for k, name in enumerate(dict.fromkeys(names))}
-        loaded = table.withColumns({w: F.col(column)[name] for name, w in work.items()})
+        """The table with one work column, and the reader. An override replaces an existing item's number."""
         text = isinstance(table.schema[column].dataType.valueType, T.StringType)
-        return loaded, cls(F.col(column), text, {n: F.col(w) for n, w in work.items()}, overrides)
+        unique = list(dict.fromkeys(names))
+        work = f"_{column}_numbers"
+        loaded = table.withColumn(work, F.transform(
+            cls._names(unique), lambda n: to_double(F.col(column)[n]) if text else F.col(column)[n]))
+        return loaded, cls(F.col(column), text, {n: k for k, n in enumerate(unique)}, F.col(work), overrides)
 
-    def present(self, name: str) -> Column:
-        return self._raw[name].isNotNull() | F.coalesce(F.map_contains_key(self.items, F.lit(name)), F.lit(False))
+    @staticmethod
+    def _names(names: Sequence[str]) -> Column:
+        return F.array(*[F.lit(n) for n in names])
 
-    def raw(self, name: str) -> Column:
-        return self._raw[name]
+    def _has(self, name: Column) -> Column:
+        return F.coalesce(F.map_contains_key(self.items, name), F.lit(False))
 
     def number(self, name: str) -> Column:
-        plain = to_double(self._raw[name]) if self.text else self._raw[name]
+        plain = F.get(self.numbers, F.lit(self.position[name]))
         if name not in self.overrides:
             return plain
         given = self.overrides[name]
-        return F.when(given.isNotNull() & self.present(name), given).otherwise(plain)
+        return F.when(given.isNotNull() & self._has(F.lit(name)), given).otherwise(plain)
 
     def failed(self, name: str) -> Column:
         """Present but not a number."""
-        return self.number(name).isNull() & self.present(name)
+        return self.number(name).isNull() & self._has(F.lit(name))
 
     def first_missing(self, names: Sequence[str]) -> Column:
-        return F.coalesce(*[F.when(~self.present(n), F.lit(n)) for n in names])
+        return F.get(F.filter(self._names(names), lambda n: ~self._has(n)), F.lit(0))
 
     def all_missing(self, names: Sequence[str]) -> Column:
-        gaps = F.concat_ws(", ", *[F.when(~self.present(n), F.lit(n)) for n in names])
+        gaps = F.array_join(F.filter(self._names(names), lambda n: ~self._has(n)), ", ")
         return F.when(gaps != "", gaps)
 
     def first_failed(self, names: Sequence[str]) -> Column:
-        """Message for the first item that is not a number."""
-        def message(name: str) -> Column:
-            shown = self.raw(name).cast("string")
+        """Message for the first item, in the order of the names, that is not a number."""
+        entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(self.position[n]).alias("at"),
+                                     F.coalesce(self.overrides[n].isNotNull(), F.lit(False)).alias("given")
+                                     if n in self.overrides else F.lit(False).alias("given")) for n in names])
+        bad = F.filter(entries, lambda e: F.get(self.numbers, e["at"]).isNull() & ~e["given"] & self._has(e["name"]))
+
+        def message(e: Column) -> Column:
+            shown = self.items[e["name"]].cast("string")
             return F.coalesce(F.concat(F.lit("could not convert string to float: '"), shown, F.lit("'")),
-                              F.lit(f"nilai kosong: {name}"))
-        return F.coalesce(*[F.when(self.failed(n), message(n)) for n in names])
+                              F.concat(F.lit("nilai kosong: "), e["name"]))
+        return F.get(F.transform(bad, message), F.lit(0))
 
 
 def above(value: Column, bound: float | Column) -> Column:
