@@ -24,7 +24,8 @@ def extraction_files(spark: SparkSession, path: str) -> DataFrame:
 
     A file with an unreadable text, or with a record that lacks one of the two keys, gives no rows at all."""
     files = _whole_files(spark, path)
-    records = F.from_json("text", "ARRAY<MAP<STRING, STRING>>")
+    body = F.when(F.rlike("text", F.lit(r"^\s*\{")), F.concat(F.lit("["), "text", F.lit("]"))).otherwise(F.col("text"))
+    records = F.from_json(body, "ARRAY<MAP<STRING, STRING>>")
     valid = files.withColumn("records", records).where(F.forall("records", lambda r: F.coalesce(
         F.map_contains_key(r, F.lit("nama_file")) & F.map_contains_key(r, F.lit("hasil_ekstraksi")), F.lit(False))))
     rows = valid.select("source", F.posexplode("records").alias("pos", "record"))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgermill import fixed_values as V
 from ledgermill.operators import risk_model as rm
 from ledgermill.operators.extraction import items_long, parse_documents
+from ledgermill.plans.session import materialise
 from ledgermill.sources.keywords import KeywordSet
 
 
@@ -31,29 +32,49 @@ def parse_arriving_documents(spark: SparkSession, folder: str, output: str, chec
     return (writer.trigger(availableNow=True) if available_now else writer).start(output)
 
 
-def update_model_on_arrival(batches: DataFrame, model_path: str, history_path: str, checkpoint: str,
-                            algorithm: str = "forest", available_now: bool = True) -> StreamingQuery:
-    """Offer every micro-batch of labelled features to the model stored at `model_path`.
+def store_model(model: rm.RiskModel, root: str, version: int) -> None:
+    """Save a version and then register it, so that a half-written version is never loaded."""
+    model.save(f"{root}/models/v{version}")
+    SparkSession.active().createDataFrame([(version,)], "version BIGINT").coalesce(1).write.mode("overwrite").parquet(
+        f"{root}/registry/v{version}")
 
-    Accepted batches are written to `history_path`/batch=<id>; a replayed batch overwrites its own folder, so it counts
-    once. The history must hold the rows of the first training.
+
+def latest_model(spark: SparkSession, root: str, below: int | None = None) -> rm.RiskModel:
+    """The newest registered version (below a given one)."""
+    versions = spark.read.schema("version BIGINT").parquet(f"{root}/registry/*")
+    if below is not None:
+        versions = versions.where(F.col("version") < below)
+    return rm.RiskModel.load(f"{root}/models/v{versions.agg(F.max('version')).first()[0]}")
+
+
+def start_model(rows: DataFrame, root: str, algorithm: str = "forest") -> rm.RiskModel | None:
+    """First training: version 0 of the model, and its rows as the first part of the history."""
+    labelled = rm.select_features(rows, [V.TARGET])
+    model = rm.train(labelled, algorithm)
+    if model is not None:
+        labelled.write.mode("overwrite").parquet(f"{root}/history/batch=initial")
+        store_model(model, root, 0)
+    return model
+
+
+def update_model_on_arrival(batches: DataFrame, root: str, checkpoint: str, algorithm: str = "forest",
+                            available_now: bool = True) -> StreamingQuery:
+    """Offer every micro-batch of labelled features to the newest model below `root` (see `start_model`).
+
+    Batch n becomes version n + 1. A replayed batch starts from the version before it and overwrites its own part of the
+    history, so it counts once.
     """
     def offer(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        model = rm.RiskModel.load(model_path)
-        rows = rm.select_features(batch, [V.TARGET])
+        model = latest_model(spark, root, below=batch_id + 1)
+        rows = materialise(rm.select_features(batch, [V.TARGET]))
         if rm.update_guard(rows, model) != rm.UPDATED:
             return
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-        history = spark.read.parquet(history_path)
+        history = spark.read.parquet(f"{root}/history")
         others = history.where(F.col("batch").cast("string") != str(batch_id)).drop("batch")
-        updated, _ = rm.update(spark.read.parquet(f"{history_path}/batch={batch_id}"), model, others, algorithm)
-        updated.save(model_path)
+        updated, _ = rm.update(rows, model, others, algorithm)
+        rows.write.mode("overwrite").parquet(f"{root}/history/batch={batch_id}")
+        store_model(updated, root, batch_id + 1)
 
     writer = batches.writeStream.foreachBatch(offer).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def write_first_history(rows: DataFrame, history_path: str) -> None:
-    """Rows of the first training, kept as batch=initial."""
-    rm.select_features(rows, [V.TARGET]).write.mode("overwrite").parquet(f"{history_path}/batch=initial")
