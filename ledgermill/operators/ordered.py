@@ -11,13 +11,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-BUCKETS, SAMPLE = 64, 4096
+MIN_BUCKETS, MAX_BUCKETS, SAMPLES_PER_BUCKET = 64, 1024, 64
 
 
-def with_bucket(table: DataFrame, order: str, buckets: int = BUCKETS, sample: int = SAMPLE) -> DataFrame:
-    """Add `bucket`, non-decreasing in `order`. The sample is the `sample` rows whose values have the smallest hashes,
-    so the splitters depend on the data only, not on how it is partitioned; they come as a scalar subquery."""
-    picked = (table.select(F.col(order).alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample)
+def bucket_count(table: DataFrame) -> int:
+    """As many buckets as shuffle partitions, within bounds."""
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, partitions))
+
+
+def with_bucket(table: DataFrame, order: str, buckets: int) -> DataFrame:
+    """Add `bucket`, non-decreasing in `order`. The sample is the rows whose values have the smallest hashes, so the
+    splitters depend on the data only, not on how it is partitioned; they come as a scalar subquery. The sample only
+    balances the buckets: every row gets its bucket and takes part."""
+    picked = (table.select(F.col(order).alias("v")).orderBy(F.xxhash64("v"), "v").limit(buckets * SAMPLES_PER_BUCKET)
               .agg(F.array_sort(F.collect_set("v")).alias("vs")))
     size = F.size("vs")
     cuts = picked.select(F.array_distinct(F.transform(
@@ -29,7 +36,7 @@ def with_bucket(table: DataFrame, order: str, buckets: int = BUCKETS, sample: in
 
 def ordered_pass(table: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str] = (),
                  previous: Mapping[str, Column] | None = None, following: Mapping[str, Column] | None = None,
-                 buckets: int = BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Per key, in ascending `order` (unique within a key), add:
 
     - `<v>_upto` and `<v>_total` for every column of `totals`: the sum up to and including the row, and over the key;
@@ -37,7 +44,7 @@ def ordered_pass(table: DataFrame, keys: Sequence[str], order: str, totals: Sequ
       its nearest non-null value on a later row.
     """
     previous, following = previous or {}, following or {}
-    cut = with_bucket(table, order, buckets).withColumns({
+    cut = with_bucket(table, order, buckets or bucket_count(table)).withColumns({
         **{f"_p_{n}": e for n, e in previous.items()}, **{f"_f_{n}": e for n, e in following.items()}})
     key_cols = [*keys, "bucket"]
     inside = W.partitionBy(*key_cols).orderBy(order)
