@@ -268,3 +268,12 @@ def parse_documents(documents: DataFrame, custom: KeywordSet | None = None, dial
         F.when(structured.isNull(), multiplier).otherwise(F.lit(1.0)).alias("pengali_global_terdeteksi"),
         F.when(structured.isNull() & F.col("text_items").isNull(), F.coalesce(
             F.col("error_parsing"), F.lit("Tidak ada data terstruktur yang dapat dihasilkan."))).alias("error"))
+
+
+def text_view(parsed: DataFrame) -> DataFrame:
+    return parsed.select("nama_file", "teks_ekstrak_mentah", "info_parsing", "error_parsing")
+
+
+def items_view(parsed: DataFrame) -> DataFrame:
+    return parsed.select("nama_file", "tahun_pelaporan_terdeteksi", "pengali_global_terdeteksi", "hasil_ekstraksi_kata_kunci",
+                         "error_parsing")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
-from ledgermill.functions.replies import add_citations, source_list
+from ledgermill.functions.replies import add_citations, parse_news_reply, source_list
 from ledgermill.functions.text import contains_any, let, starts_with_any, strip
 from ledgermill.operators.outlook import sector_outlook
 
@@ -138,6 +138,20 @@ def risk_records(texts: DataFrame, outlook: DataFrame, now: Column | None = None
         (F.current_timestamp() if now is None else now).alias("lastUpdateTimestamp"))
 
 
+def risk_records_from_replies(answers: DataFrame, outlook: DataFrame, now: Column | None = None) -> DataFrame:
+    """Risk records of applicants (applicant, industry_main, industry_sub, reply) whose news come as a JSON reply. An
+    unreadable reply gives the sentiment 'Error' and empty lists."""
+    rated = sector_outlook(answers, outlook).withColumn("news", parse_news_reply(F.col("reply")))
+    failed = F.col("news.summary").isNull() & F.col("news.sentiment").isNull()
+    return rated.select(
+        F.col("applicant").alias("applicantName"),
+        F.when(failed, F.lit("Gagal menghasilkan analisis AI.")).otherwise(F.col("news.summary")).alias("groundedSummary"),
+        F.when(failed, F.lit("Error")).otherwise(F.col("news.sentiment")).alias("overallSentiment"),
+        F.col("news.key_issues").alias("keyIssues"), F.col("news.sources").alias("supportingSources"),
+        F.col("outlook").alias("industrySectorOutlook"),
+        (F.current_timestamp() if now is None else now).alias("lastUpdateTimestamp"))
+
+
 def news_view(records: DataFrame) -> DataFrame:
     return records.select("applicantName", "groundedSummary", "overallSentiment", "keyIssues", "supportingSources",
                           "lastUpdateTimestamp")

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
+from ledgermill.operators.incremental import one_per_group
 from ledgermill.operators.statements import ItemReader
 from ledgermill.plans.session import materialise
 
 UPDATED, EMPTY, UNSEEN, SINGLE_CLASS, NO_MODEL = "updated", "empty", "unseen_label", "single_class", "no_model"
 TREES, DEPTH, ROUNDS, SEED = 50, 6, 20, 42
+MAX_CLASSES = 100
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,10 @@ def _prepared(model_features: PipelineModel, labels: Sequence[str], table: DataF
 def train(table: DataFrame, algorithm: str = "forest") -> RiskModel | None:
     """Fit the scaling, the label dictionary (alphabetical) and the classifier; None for an empty table."""
     data = materialise(select_features(table, [V.TARGET]))          # read by every fitting step
-    labels = tuple(r[0] for r in data.select(V.TARGET).where(F.col(V.TARGET).isNotNull()).distinct().orderBy(V.TARGET).collect())
+    found = data.select(V.TARGET).where(F.col(V.TARGET).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {V.TARGET}")
+    labels = tuple(sorted(r[0] for r in found))
     if not labels:
         return None
     features = _feature_pipeline(data)
@@ -179,6 +184,15 @@ def predict(table: DataFrame, model: RiskModel | None, keep: Sequence[str] = ())
                          F.lit(None).cast("string").alias("error"))
 
 
+def sample_predictions(table: DataFrame, model: RiskModel | None, group: str = V.SECTOR, key: str = "UniqueID",
+                       keep: Sequence[str] = ()) -> DataFrame:
+    """Predictions for one pseudo-random row of every group."""
+    names = list(dict.fromkeys([key, group, *keep]))
+    renamed = one_per_group(table, group, key).withColumn("_group", F.col(group))
+    out = predict(renamed, model, [n for n in names if n != group] + ["_group"])
+    return out.withColumnRenamed("_group", group)
+
+
 def slice_rows(table: DataFrame, sectors: Sequence[str] | None = None, first_year: int | None = None,
                last_year: int | None = None) -> DataFrame:
     """Rows of the sectors within the years; plain predicates that reach the scan."""

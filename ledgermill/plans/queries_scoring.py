@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgermill import fixed_values as V
 from ledgermill.operators import risk_model as rm
 from ledgermill.operators.evaluation import class_report, distribution
-from ledgermill.operators.incremental import hash_split, one_per_group
+from ledgermill.operators.incremental import hash_split
 from ledgermill.operators.outlook import sector_outlook
-from ledgermill.operators.scoring import altman, altman_model, beneish, common_ratios, growth_returns, score_companies
+from ledgermill.operators.scoring import altman, beneish, common_ratios, growth_returns, score_companies
 from ledgermill.operators.statements import canonical_items, canonical_map, period_pairs, statements
 from ledgermill.plans import derived as D
 from ledgermill.plans.session import materialise
@@ -198,7 +198,9 @@ def staged_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sector_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return one_per_group(D.labelled_features(spark, sf), V.SECTOR, "UniqueID").select("UniqueID", V.SECTOR, V.TARGET)
+    """Predictions for one row per sector, by a model of all rows."""
+    data = materialise(D.labelled_features(spark, sf))
+    return rm.sample_predictions(data, rm.train(data), keep=[V.TARGET])
 
 
 def model_choice(spark: SparkSession, sf: str) -> DataFrame:

@@ -196,3 +196,12 @@ def test_names(spark):
     assert apply(spark, T.file_extension, ["a.B.PDF", "plain"]) == ["pdf", ""]
     assert apply(spark, T.applicant_slug, [" PT. Contoh (Tbk) "]) == ["PT_Contoh_Tbk"]
     assert apply(spark, lambda c: T.words(c, ["dan"]), ["Laba dan_ rugi, DAN 12x"]) == [["laba", "rugi", "12x"]]
+
+
+def test_records_from_replies(spark):
+    outlook = spark.createDataFrame([("Keuangan", "Bank", "Rendah")], "industry_main string, industry_sub string, outlook string")
+    rows = spark.createDataFrame([("A", "Keuangan", "Bank", '{"summary": "s", "sentiment": "Mixed", "key_issues": ["i"], "sources": []}'),
+                                  ("B", None, None, "rusak")], "applicant string, industry_main string, industry_sub string, reply string")
+    out = {r.applicantName: r for r in N.risk_records_from_replies(rows, outlook).collect()}
+    assert out["A"].overallSentiment == "Mixed" and out["A"].keyIssues == ["i"] and out["A"].industrySectorOutlook == "Rendah"
+    assert out["B"].overallSentiment == "Error" and out["B"].keyIssues == [] and out["B"].supportingSources == []
