@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgermill import fixed_values as V
 from ledgermill.operators.incremental import one_per_group
 from ledgermill.operators.statements import ItemReader
-from ledgermill.plans.session import materialise
+from ledgermill.session import materialise
 
 UPDATED, EMPTY, UNSEEN, SINGLE_CLASS, NO_MODEL = "updated", "empty", "unseen_label", "single_class", "no_model"
 TREES, DEPTH, ROUNDS, SEED = 50, 6, 20, 42

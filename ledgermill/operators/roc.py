@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.operators.ordered import ordered_pass
-from ledgermill.plans.session import materialise
+from ledgermill.session import materialise
 
 COUNT = "decimal(38,0)"
 

@@ -13,7 +13,7 @@ from ledgermill.operators.outlook import sector_outlook
 from ledgermill.operators.scoring import altman, beneish, common_ratios, growth_returns, score_companies
 from ledgermill.operators.statements import canonical_items, canonical_map, period_pairs, statements
 from ledgermill.plans import derived as D
-from ledgermill.plans.session import materialise
+from ledgermill.session import materialise
 
 ALTMAN_COLUMNS = ["z_score", "x1", "x2", "x3", "x4", "x5", "zone"]
 

@@ -1,10 +1,10 @@
-"""Session settings for tests and local runs. On a cluster the session is given and only read."""
+"""Session settings for tests and local runs, and reliable checkpoints. On a cluster the session is given and only read."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,15 +21,18 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local[...] session gets a temporary one; on a
+    cluster that is an error, as executors cannot share a folder of one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgermill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def materialise(table):
+def materialise(table: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
     spark = table.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgermill import fixed_values as V
 from ledgermill.operators import risk_model as rm
 from ledgermill.operators.extraction import items_long, parse_documents
-from ledgermill.plans.session import materialise
+from ledgermill.session import materialise
 from ledgermill.sources.keywords import KeywordSet
 
 

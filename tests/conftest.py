@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from ledgermill.plans.session import local_session  # noqa: E402
+from ledgermill.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -55,7 +55,7 @@ def compare(spark, con, query, sql: str, sf_dir: str, exact: bool = True) -> lis
 
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
-    from ledgermill.plans.session import local_session
+    from ledgermill.session import local_session
     spark, sf = local_session(), sys.argv[1]
     con, failed = connect(sf), []
     for name, query in queries().items():
