@@ -48,7 +48,7 @@ def sketch_index(benchmark: DataFrame) -> DataFrame:
     sized = hashed.where(F.size("_h") > 0).withColumn("partition", F.ceil(F.log2(F.size("_h").cast("double"))).cast("int"))
     upper = F.pow(F.lit(2.0), F.col("partition"))
     k = (F.floor(upper * (100 - PERCENT) / 100) + 1).cast("int")
-    return sized.select("item_id", "partition", F.explode(F.slice("_h", 1, F.least(k, F.size("_h")))).alias("hash"))
+    return sized.select("item_id", "partition", F.explode_outer(F.slice("_h", 1, F.least(k, F.size("_h")))).alias("hash"))
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -61,7 +61,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").alias("doc_id"), "text")
     index = broadcast_if_small(sketch_index(benchmark.select("item_id", "text")).select("item_id", "hash"))
-    hashes = with_shingle_hashes(slim, "doc_id").select("doc_id", F.explode("_h").alias("hash"))
+    # explode_outer: for explode Spark would filter on the size of the array first and compute it a second time for that
+    hashes = with_shingle_hashes(slim, "doc_id").select("doc_id", F.explode_outer("_h").alias("hash"))
     candidates = broadcast_if_small(hashes.join(index, "hash").select("doc_id", "item_id").distinct())
     items = benchmark.select(F.col("item_id").alias("_item"), words(F.col("text")).alias("_iw")).select(
         "_item", shingle_texts(F.col("_iw"), F.size("_iw")).alias("_is"))
