@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.components import components
+from ledgermill.llm.sizes import broadcast_if_small
 from ledgermill.session import materialise
 
 SHINGLE, PERCENT = 5, 80
@@ -187,29 +188,26 @@ def may_link(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection of sorted arrays. Texts of the documents in question are read once."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _columns(batches):
-            yield pa.RecordBatch.from_pydict({"id": ids, "set": pa.array([s.tobytes() for s in sets], pa.binary())})
-
+    """The pairs (a, b) whose sets link, by exact intersection of sorted arrays. Texts travel, which are smaller than their
+    hashed sets: that of b with each pair, that of a once."""
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                same = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
-                keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(chosen.columns[:2], names=["a", "b"])
-    sets = texts.join(asked, "id", "left_semi").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]) \
-        if False else texts.join(asked, "id", "left_semi").mapInArrow(sets_of, "id long, set binary")
-    sets = materialise(sets)
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+            lo = 0
+            while lo < len(batch):                  # some rows at a time, as texts can be long
+                part = batch.slice(lo, 256)
+                lo += 256
+                keep = []
+                for x, y in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3))):
+                    short, long = (x, y) if len(x) <= len(y) else (y, x)
+                    same = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum()) if len(short) else 0
+                    keep.append(same > 0 and 100 * same >= PERCENT * (len(x) + len(y) - same))
+                chosen = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(chosen.columns[:2], names=["a", "b"])
+    pairs = broadcast_if_small(pairs)
+    heads = broadcast_if_small(pairs.select(F.col("a").alias("id")).distinct())
+    right = texts.join(pairs.withColumnRenamed("b", "id"), "id").select("a", F.col("id").alias("b"), F.col("text").alias("y"))
+    left = texts.join(heads, "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("x"))
+    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,12 +224,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     frequent = np.sort(heavy.view(_U))
     sizes = described.where("kind = 0").select("id", "n", "a", "b")
     classes = sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    reps = materialise(prefixes(texts, frequent).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
-    # tiles with one class need nothing more; only those with several keep their rows
-    tiles = reps.select("id", F.explode("keys").alias("key"))
-    several = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("m > 1")
-    several = materialise(several)
-    larger = materialise(tiles.join(several.where("m > 2").select("key", F.col("a").alias("head")), "key"))
+    copies = broadcast_if_small(sizes.join(classes, ["n", "a", "b"]).where(F.col("id") != F.col("rep")).select("id"))
+    reps = materialise(prefixes(texts, frequent).join(copies, "id", "left_anti"))
+    # dealt out by tile once: counted, and joined with the counts; only tiles with several classes keep their rows
+    tiles = reps.select("id", F.explode("keys").alias("key")).repartition("key")
+    several = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"), F.max("id").alias("last"))
+    met_on = materialise(tiles.join(several.where("head < last").hint("shuffle_hash"), "key"))
     signed = reps.select("id", "n", "bits")
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
@@ -239,12 +237,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         right = signed.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
         return (pairs.join(left, "a").join(right, "b").where(may_link(F.col("n1"), F.col("bits1"), F.col("n2"), F.col("bits2")))
                 .select("a", "b"))
-    stars = larger.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    first = materialise(with_signatures(several.where("m = 2").select("a", "b").unionByName(stars).distinct()))
+    stars = met_on.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    first = materialise(with_signatures(stars.distinct()).distinct())
     links = materialise(_verified(first, texts))
     labels = materialise(components(links))
     # tiles on which classes of different groups meet
-    member = larger.select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
+    member = met_on.where("m > 2").select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     open_tiles = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_rows = materialise(member.join(open_tiles, "key", "left_semi"))
