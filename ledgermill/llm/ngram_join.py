@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 PIECE_BYTES = 1 << 21
 #: Shingles in at least so many documents of one batch and in total count as frequent; at most so many are remembered, the
 #: most frequent ones. This orders prefixes and changes no result.
-FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 6, 24, 1_000_000
+FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 4, 24, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
@@ -227,17 +227,21 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     copies = broadcast_if_small(sizes.join(classes, ["n", "a", "b"]).where(F.col("id") != F.col("rep")).select("id"))
     reps = materialise(prefixes(texts, frequent).join(copies, "id", "left_anti"))
     # dealt out by tile once: counted, and joined with the counts; only tiles with several classes keep their rows
-    tiles = reps.select("id", F.explode("keys").alias("key")).repartition("key")
-    several = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"), F.max("id").alias("last"))
+    tiles = reps.select("id", "n", F.explode("keys").alias("key")).repartition("key")
+    several = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"),
+                                       F.max("id").alias("last"))
     met_on = materialise(tiles.join(several.where("head < last").hint("shuffle_hash"), "key"))
     signed = reps.select("id", "n", "bits")
 
+    # pairs whose sizes are not in one band go before any signature is moved
+    in_band = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * PERCENT
+
     def with_signatures(pairs: DataFrame) -> DataFrame:
         left = signed.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
         right = signed.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
         return (pairs.join(left, "a").join(right, "b").where(may_link(F.col("n1"), F.col("bits1"), F.col("n2"), F.col("bits2")))
                 .select("a", "b"))
-    stars = met_on.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    stars = met_on.where((F.col("id") > F.col("head")) & in_band).select(F.col("head").alias("a"), F.col("id").alias("b"))
     first = materialise(with_signatures(stars.distinct()).distinct())
     links = materialise(_verified(first, texts))
     labels = materialise(components(links))
