@@ -112,9 +112,9 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Signature of 64-bit words: one bit or more per shingle, a power of two of words. A longer one folded in halves by OR equals
+    """Signature of 64-bit words: two bits or more per shingle, a power of two of words. A longer one folded in halves by OR equals
     the shorter one of the same set."""
-    words = 1 << max(0, (len(shingles) - 1) // 64).bit_length()
+    words = 1 << max(0, (2 * len(shingles) - 1) // 64).bit_length()
     bits = np.zeros(words * 64, np.uint8)
     bits[(shingles & _U(words * 64 - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view("<i8")
