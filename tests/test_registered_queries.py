@@ -20,6 +20,5 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_registry(spark):
     assert entry(spark).count() > 0
     assert set(oracle_sql()) <= set(queries())
-    from __spark_entry__ import TRAINING_QUERIES
     without = set(queries()) - set(oracle_sql()) - set(TRAINING_QUERIES)
     assert without == {"train_predict", "staged_update", "sector_samples"}
