@@ -201,3 +201,18 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, plain, SF).columns == plain.columns
     assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, plain, SF).collect()) == [1, 4, 5, 7, 7, 8]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_signature_difference_never_exceeds_set_difference():
+    """Parity signatures, folded where lengths differ, bound the number of differing shingles from below."""
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 63, 64, 65, 120, 128, 129, 500, 1030):
+        for extra in (0, 1, n // 8, n // 5):
+            base = rng.integers(0, 2**63, n + extra, dtype=np.uint64)
+            one, two = np.unique(base[:n]), np.unique(base[extra // 2:])
+            x, y = sorted((ngram_join.bitmap(one).view(np.uint64), ngram_join.bitmap(two).view(np.uint64)), key=len)
+            while len(y) > len(x):
+                y = y[:len(y) // 2] ^ y[len(y) // 2:]
+            differ = np.unpackbits((x ^ y).view(np.uint8)).sum()
+            assert differ <= len(np.setxor1d(one, two))
+            assert extra or differ == 0
