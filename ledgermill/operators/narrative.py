@@ -142,12 +142,13 @@ def risk_records_from_replies(answers: DataFrame, outlook: DataFrame, now: Colum
     """Risk records of applicants (applicant, industry_main, industry_sub, reply) whose news come as a JSON reply. An
     unreadable reply gives the sentiment 'Error' and empty lists."""
     rated = sector_outlook(answers, outlook).withColumn("news", parse_news_reply(F.col("reply")))
-    failed = F.col("news.summary").isNull() & F.col("news.sentiment").isNull()
+    failed = F.col("news").isNull()
     return rated.select(
         F.col("applicant").alias("applicantName"),
         F.when(failed, F.lit("Gagal menghasilkan analisis AI.")).otherwise(F.col("news.summary")).alias("groundedSummary"),
         F.when(failed, F.lit("Error")).otherwise(F.col("news.sentiment")).alias("overallSentiment"),
-        F.col("news.key_issues").alias("keyIssues"), F.col("news.sources").alias("supportingSources"),
+        F.coalesce("news.key_issues", F.array().cast("array<string>")).alias("keyIssues"),
+        F.coalesce("news.sources", F.array().cast("array<struct<title:string,url:string>>")).alias("supportingSources"),
         F.col("outlook").alias("industrySectorOutlook"),
         (F.current_timestamp() if now is None else now).alias("lastUpdateTimestamp"))
 

@@ -19,7 +19,6 @@ from ledgermill.session import materialise
 
 UPDATED, EMPTY, UNSEEN, SINGLE_CLASS, NO_MODEL = "updated", "empty", "unseen_label", "single_class", "no_model"
 TREES, DEPTH, ROUNDS, SEED = 50, 6, 20, 42
-MAX_CLASSES = 100
 
 
 @dataclass(frozen=True)
@@ -123,12 +122,9 @@ def _prepared(model_features: PipelineModel, labels: Sequence[str], table: DataF
 
 
 def train(table: DataFrame, algorithm: str = "forest") -> RiskModel | None:
-    """Fit the scaling, the label dictionary (alphabetical) and the classifier; None for an empty table."""
-    data = materialise(select_features(table, [V.TARGET]))          # read by every fitting step
-    found = data.select(V.TARGET).where(F.col(V.TARGET).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {V.TARGET}")
-    labels = tuple(sorted(r[0] for r in found))
+    """Fit the scaling, the label dictionary (alphabetical) and the classifier on the rows that have a label; None if none has."""
+    data = materialise(select_features(table, [V.TARGET]).where(F.col(V.TARGET).isNotNull()))      # read by every fitting step
+    labels = tuple(StringIndexer(inputCol=V.TARGET, outputCol="_label", stringOrderType="alphabetAsc").fit(data).labels)
     if not labels:
         return None
     features = _feature_pipeline(data)

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill import fixed_values as V
 
-# A keyword set becomes literals of the plan, so its size is checked where it is built.
-MAX_VARIATIONS = 5000
-
 KEYWORD_SCHEMA = "keyword_set STRING, item STRING, item_ord INT, variation STRING, var_ord INT"
 
 
@@ -34,11 +31,6 @@ class KeywordSet:
     items: tuple[tuple[str, tuple[str, ...]], ...]
     split_rules: tuple[SplitRule, ...] = field(default=())
 
-    def __post_init__(self) -> None:
-        size = sum(len(vs) for _, vs in self.items)
-        if size > MAX_VARIATIONS:
-            raise ValueError(f"keyword set {self.name} has {size} variations, more than {MAX_VARIATIONS}")
-
     @property
     def item_names(self) -> list[str]:
         return [item for item, _ in self.items]

@@ -33,20 +33,29 @@ def extraction_files(spark: SparkSession, path: str) -> DataFrame:
         F.try_element_at("record", F.lit("hasil_ekstraksi")), "MAP<STRING, DOUBLE>").alias("hasil_ekstraksi"))
 
 
-def sector_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Sector feature files under one schema, matched by header name; absent features are null.
+def sector_layouts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """header, paths: the CSV files of a folder (or of a list of paths) by their first line; one pass over the first splits."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    first = lines.withColumn("pos", F.monotonically_increasing_id()).groupBy("file_path").agg(F.min_by("value", "pos").alias("header"))
+    return first.groupBy("header").agg(F.array_sort(F.collect_list("file_path")).alias("paths"))
 
-    One scan reads every file of a folder; unreadable files are skipped. A file whose header has other columns or
-    another order is read by `sector_csv_by_header`."""
-    return (spark.read.schema(SECTOR_SCHEMA).option("header", True).option("nullValue", "nan")
-            .option("enforceSchema", False).option("ignoreCorruptFiles", True).csv(path))
 
+def sector_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Sector feature files with any headers, stacked by column name under one schema; absent columns are null, others are left out.
 
-def sector_csv_by_header(spark: SparkSession, paths: list[str]) -> DataFrame:
+    Files are grouped by header and every layout is read once. No file is dropped: one that has none of the columns
+    gives rows of nulls. An absent path is an error."""
+    stacked = sector_csv_by_header(spark, path)
+    fields = [part.rsplit(" ", 1) for part in SECTOR_SCHEMA.split(", ")]
+    return stacked.select(*[(F.col(n).try_cast(t) if n in stacked.columns else F.lit(None).cast(t)).alias(n) for n, t in fields])
+
+
+def sector_csv_by_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files with differing headers stacked by column name; numeric features that no file has are added as null."""
     out: DataFrame | None = None
-    for path in paths:                                  # one plan branch per layout, not per row
-        part = spark.read.option("header", True).option("nullValue", "nan").csv(path)
+    layouts = sector_layouts(spark, paths).orderBy("header").collect() if paths else []     # as many names as Spark lists itself
+    for layout in layouts:                              # one plan branch per layout, not per file
+        part = spark.read.option("header", True).option("nullValue", "nan").csv(layout["paths"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         return spark.createDataFrame([], SECTOR_SCHEMA)

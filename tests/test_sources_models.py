@@ -147,3 +147,13 @@ def test_streams(spark, folder):
     jobs.update_model_on_arrival(batches, root, str(folder / "cp2")).awaitTermination()
     assert spark.read.parquet(f"{root}/registry/*").agg(F.max("version")).first()[0] == 2
     assert spark.read.parquet(f"{root}/history").count() == 120
+
+
+def test_mixed_folder_keeps_every_row(spark, folder):
+    (folder / "one.csv").write_text("UniqueID,Sektor,ROA\nu1,Agro,0.5\nu2,Agro,nan\n")
+    (folder / "two.csv").write_text("RiskCategory,UniqueID,Other\nHigh,u3,x\n")
+    (folder / "three.csv").write_text("UniqueID,Sektor,ROA\nu4,Tani,bad\n")
+    rows = {r.UniqueID: r for r in S.sector_csv(spark, str(folder)).collect()}
+    assert sorted(rows) == ["u1", "u2", "u3", "u4"]
+    assert (rows["u1"].ROA, rows["u2"].ROA, rows["u3"].RiskCategory, rows["u4"].ROA) == (0.5, None, "High", None)
+    assert S.sector_layouts(spark, str(folder)).count() == 2

@@ -205,3 +205,13 @@ def test_records_from_replies(spark):
     out = {r.applicantName: r for r in N.risk_records_from_replies(rows, outlook).collect()}
     assert out["A"].overallSentiment == "Mixed" and out["A"].keyIssues == ["i"] and out["A"].industrySectorOutlook == "Rendah"
     assert out["B"].overallSentiment == "Error" and out["B"].keyIssues == [] and out["B"].supportingSources == []
+
+
+def test_replies_keep_addresses_inside_strings(spark):
+    news = '{"summary": "a // b",\n"sources": [{"title": "t", "url": "https://x.id/1"}],\n"sentiment": "Positive"}'
+    out = apply(spark, replies.parse_news_reply, [news, "{}", "no json", '{"summary": "a",}'])
+    assert out[0]["summary"] == "a // b" and out[0]["sources"][0]["url"] == "https://x.id/1"
+    assert out[1]["summary"] is None and out[1]["key_issues"] == [] and out[2] is None
+    noted = 'Hasil: {"a//b": {"current_year": 1, /* c */ "previous_year": 2,}, // d\n}'
+    items = apply(spark, replies.parse_statement_reply, [noted])[0]["items"]
+    assert items["a//b"]["t"] == 1 and items["a//b"]["t_minus_1"] == 2
