@@ -11,13 +11,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-MIN_BUCKETS, MAX_BUCKETS, SAMPLES_PER_BUCKET = 64, 1024, 64
+MIN_BUCKETS, SAMPLES_PER_BUCKET = 64, 64
 
 
 def bucket_count(table: DataFrame) -> int:
-    """As many buckets as shuffle partitions, within bounds."""
+    """As many buckets as shuffle partitions, and at least MIN_BUCKETS."""
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, partitions))
+    return max(MIN_BUCKETS, partitions)
 
 
 def with_bucket(table: DataFrame, order: str, buckets: int) -> DataFrame:
@@ -30,8 +30,10 @@ def with_bucket(table: DataFrame, order: str, buckets: int) -> DataFrame:
     cuts = picked.select(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
         lambda i: F.get(F.col("vs"), F.floor(i * size / buckets).cast("int")))).alias("cuts")).scalar()
-    return (table.withColumn("_cuts", cuts)
-            .withColumn("bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])       # binary search: cuts <= value
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(F.col("_cuts"), at + step - 1) <= F.col(order), at + step).otherwise(at))
+    return table.withColumn("_cuts", cuts).withColumn("bucket", bucket).drop("_cuts")
 
 
 def ordered_pass(table: DataFrame, keys: Sequence[str], order: str, totals: Sequence[str] = (),
@@ -69,7 +71,9 @@ def ordered_pass(table: DataFrame, keys: Sequence[str], order: str, totals: Sequ
         *[F.sum(v).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(f"_l_{v}") for v in totals],
         *[F.last(f"_p_{n}", ignorenulls=True).over(inside.rowsBetween(*earlier)).alias(f"_lp_{n}") for n in previous],
         *[F.first(f"_f_{n}", ignorenulls=True).over(inside.rowsBetween(*later)).alias(f"_lf_{n}") for n in following])
-    return local.join(carried, key_cols).select(
+    carried = carried.withColumnsRenamed({c: f"_k_{c}" for c in key_cols})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key_cols]          # a null key is a key of its own
+    return local.join(carried, same).select(
         *table.columns,
         *[(F.col(f"_l_{v}") + F.col(f"_c_{v}")).alias(f"{v}_upto") for v in totals], *[f"{v}_total" for v in totals],
         *[F.coalesce(f"_lp_{n}", f"_cp_{n}").alias(n) for n in previous],

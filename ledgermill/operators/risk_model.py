@@ -164,8 +164,7 @@ def predict(table: DataFrame, model: RiskModel | None, keep: Sequence[str] = ())
         return table.select(*keep, F.lit(None).cast("string").alias("risk_category"),
                             F.lit(None).cast("double").alias("risk_score"),
                             F.lit(None).cast("map<string,double>").alias("probabilities"),
-                            F.lit("Model ML, Preprocessor, atau LabelEncoder tidak dimuat. "
-                                  "Prediksi tidak dapat dilakukan.").alias("error"))
+                            F.lit(V.MODEL_NOT_LOADED).alias("error"))
     names = F.array(*[F.lit(x) for x in model.labels])
     scored = model.classifier.transform(model.features.transform(select_features(table, keep)))
     raw = "probability" if "probability" in scored.columns else "rawPrediction"

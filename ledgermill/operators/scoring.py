@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
-from ledgermill.operators.statements import ItemReader, above, period_pairs
+from ledgermill.operators.risk_model import RiskModel, predict, statement_features
+from ledgermill.operators.statements import ItemReader, above, canonical_map, period_pairs
 
 NO_T1 = "Data t-1 tidak disediakan."
 NO_T = "Data keuangan periode t (data_t) tidak valid atau kosong setelah normalisasi."
@@ -240,21 +241,36 @@ def combined_error(altman_: Column, beneish_: Column, has_t1: Column, ml_error:
     return F.coalesce(*parts)
 
 
-def score_companies(table: DataFrame, requests: DataFrame | None = None, step: int = 1) -> DataFrame:
-    """Combined record per company and period: altman, beneish, ratios, returns and one global error.
+def credit_risk(scored: DataFrame, model: RiskModel | None, sector: str = "sector") -> DataFrame:
+    """Add `prediction`: STRUCT(risk_category, risk_score, probabilities, error) from the statement pair and its sector.
+
+    Without a sector, and without a model, only the error is given. The record travels through the model as one column,
+    so there is no join."""
+    packed = scored.select("items", "items_t1", F.col(sector), F.struct(*scored.columns).alias("_record"))
+    rated = predict(statement_features(packed, sector), model, ["_record"])
+    given = F.coalesce(F.col(f"_record.{sector}"), F.lit("")) != ""
+    return rated.select("_record.*", F.struct(
+        *[F.when(given, F.col(c)).alias(c) for c in ("risk_category", "risk_score", "probabilities")],
+        F.when(given, F.col("error")).otherwise(F.lit(V.NO_SECTOR)).alias("error")).alias("prediction"))
+
+
+def score_companies(table: DataFrame, requests: DataFrame | None = None, step: int = 1,
+                    model: RiskModel | None = None) -> DataFrame:
+    """Combined record per company and period: item names cleaned, then altman, beneish, ratios, returns, with requests also
+    the model's prediction, and one global error.
 
     `requests` may hold (company, is_public, market_value_equity, model_override, sector), one row per company.
     """
-    pairs = period_pairs(table, ("items",), step)
+    pairs = period_pairs(table.withColumn("items", canonical_map(F.col("items"))), ("items",), step)
     if requests is not None:
         pairs = pairs.join(requests, "company", "left")
         args = (F.col("is_public"), F.col("model_override"), F.col("market_value_equity"))
     else:
         args = (None, None, None)
     scored = growth_returns(common_ratios(beneish(altman(pairs, *args))))
+    if requests is not None:
+        scored = credit_risk(scored, model)
     empty = F.coalesce(F.size("items"), F.lit(0)) <= 0
-    missing_sector = (F.when(F.coalesce(F.col("sector"), F.lit("")) == "",
-                             F.lit("Sektor tidak disediakan, prediksi ML tidak dapat dilakukan."))
-                      if requests is not None else None)
     return scored.withColumn("error", F.when(empty, F.lit(NO_T)).otherwise(
-        combined_error(F.col("altman"), F.col("beneish"), F.col("items_t1").isNotNull(), missing_sector)))
+        combined_error(F.col("altman"), F.col("beneish"), F.col("items_t1").isNotNull(),
+                       F.col("prediction.error") if requests is not None else None)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,10 @@ def canonical_map(items: Column, aliases: Mapping[str, str] = V.ALIASES) -> Colu
 def period_pairs(table: DataFrame, columns: tuple[str, ...] = ("items",), step: int = 1) -> DataFrame:
     """Pair every statement with the one exactly `step` periods earlier, as `<column>_t1` (null if there is none).
 
-    Every row is sent to its own period and, as the earlier one, to a later period; one grouping on the unique
-    (company, period) brings them together. The input is read once, where a self-join would compute it twice, and no
-    key is hot however large a company is.
+    Every row is sent to its own period and, as the earlier one, to a later period; one window on (company, period)
+    brings them together. The input is read once, where a self-join would compute it twice, and no key is hot however
+    large a company is. Repeated statements of a period all stay; of several earlier ones all rows get the same one, that
+    of the largest hash of its values.
     """
     others = [c for c in table.columns if c not in ("company", "period")]
 
@@ -63,8 +64,10 @@ def period_pairs(table: DataFrame, columns: tuple[str, ...] = ("items",), step:
         old = F.lit(None) if now else F.struct(*columns)
         return F.struct(period.alias("period"), kept.alias("now"), old.alias("old"))
     roles = F.array(role(F.col("period"), True), role(F.col("period") + step, False))
-    paired = table.select("company", F.inline(roles)).groupBy("company", "period").agg(
-        F.any_value("now", ignoreNulls=True).alias("now"), F.any_value("old", ignoreNulls=True).alias("old"))
+    maps = {f.name for f in table.schema if isinstance(f.dataType, T.MapType)}
+    values = F.xxhash64(*[F.map_entries(f"old.{c}") if c in maps else F.col(f"old.{c}") for c in columns])
+    paired = table.select("company", F.inline(roles)).withColumn("old", F.max_by(
+        "old", F.when(F.col("old").isNotNull(), values)).over(W.partitionBy("company", "period")))
     return paired.where(F.col("now").isNotNull()).select(
         *[c if c in ("company", "period") else F.col(f"now.{c}").alias(c) for c in table.columns],
         *[F.col(f"old.{c}").alias(f"{c}_t1") for c in columns])

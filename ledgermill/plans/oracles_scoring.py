@@ -173,7 +173,8 @@ SELECT company, period, CASE WHEN ae IS NULL THEN z_score END AS z_score, CASE W
   CASE WHEN period % 7 <> 0 AND company % 5 <> 0 AND company % 9 <> 0 THEN CASE WHEN sales = 0 THEN 0e0 ELSE ni / sales END END AS net_margin,
   CASE WHEN ae IS NOT NULL THEN 'Analisis Altman Z-Score gagal: ' || ae
        WHEN has_old AND be IS NOT NULL THEN 'Analisis Beneish M-Score gagal: ' || be
-       WHEN NOT has_sector THEN 'Prediksi Risiko Kredit ML gagal: Sektor tidak disediakan, prediksi ML tidak dapat dilakukan.' END AS error
+       WHEN NOT has_sector THEN 'Prediksi Risiko Kredit ML gagal: Sektor tidak disediakan, prediksi ML tidak dapat dilakukan.'
+       ELSE 'Prediksi Risiko Kredit ML gagal: Model ML, Preprocessor, atau LabelEncoder tidak dimuat. Prediksi tidak dapat dilakukan.' END AS error
 FROM e""",
     "alias_canonical": f"WITH {ALIAS_ROWS} SELECT company, period, item, value FROM kept",
     "statement_maps": f"""WITH {ALIAS_ROWS} SELECT company, period, count(*) AS item_count,

@@ -26,8 +26,9 @@ def amount_service(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return D.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token")).groupBy(
-        "doc_id").agg(F.count_if(maybe_numeric(F.col("token"))).alias("numeric_tokens"))
+    tokens = F.filter(F.split("text", " "), maybe_numeric)
+    return D.table(spark, sf, "documents").where(F.col("text").isNotNull()).select(
+        "doc_id", F.size(tokens).cast("bigint").alias("numeric_tokens"))
 
 
 def unit_multipliers(spark: SparkSession, sf: str) -> DataFrame:

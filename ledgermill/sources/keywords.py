@@ -79,16 +79,7 @@ class KeywordSet:
         return out
 
 
-def _spellings(phrase: str, limit: int = 3) -> list[str]:
-    title = " ".join(w if w in ("dan", "yang") else w[:1].upper() + w[1:] for w in phrase.split(" "))
-    return list(dict.fromkeys([phrase, title, phrase.upper()]))[:limit]
-
-
-def _expand(phrases: Sequence) -> tuple[str, ...]:
-    return tuple(s for p in phrases for s in (_spellings(*p) if isinstance(p, tuple) else _spellings(p)))
-
-
-CORPORATE = KeywordSet("korporat", tuple((item, _expand(ps)) for item, ps in V.CORPORATE_PHRASES))
+CORPORATE = KeywordSet("korporat", tuple((item, tuple(ps)) for item, ps in V.CORPORATE_PHRASES))
 INDIVIDUAL = KeywordSet("individu", tuple((item, tuple(ps)) for item, ps in V.INDIVIDUAL_PHRASES))
 
 
@@ -102,7 +93,7 @@ def investing_split_rule(dialect: str) -> SplitRule:
 def with_operating_cash(keywords: KeywordSet = CORPORATE) -> KeywordSet:
     """The set plus the operating cash flow item that the Beneish score needs."""
     item, phrases = V.OPERATING_CASH_PHRASES
-    return KeywordSet(keywords.name, keywords.items + ((item, _expand(phrases)),), keywords.split_rules)
+    return KeywordSet(keywords.name, keywords.items + ((item, tuple(phrases)),), keywords.split_rules)
 
 
 def custom_set(items: Iterable[tuple[str, Sequence[str]]], name: str = "custom",

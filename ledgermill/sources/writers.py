@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import applicant_slug
-from ledgermill.operators.extraction import items_long, split_periods
 
 
 def period_records(extracted: DataFrame, name_col: str = "nama_file") -> DataFrame:
-    """nama_file, period_kind, hasil_ekstraksi: one record per document and period that has values, and a record for t
-    of every document with an error note (column `note`, optional)."""
-    named = extracted.withColumnRenamed(name_col, "nama_file").select("nama_file", "items")
-    values = split_periods(items_long(named))
-    records = values.groupBy("nama_file", "period_kind").agg(F.map_from_entries(F.array_sort(
-        F.collect_list(F.struct("item", "value")))).alias("hasil_ekstraksi"))     # one entry per keyword item
-    records = records.withColumn("note", F.lit(None).cast("string"))
-    if "note" in extracted.columns:
-        noted = extracted.where(F.col("note").isNotNull()).select(
-            F.col(name_col).alias("nama_file"), F.lit("t").alias("period_kind"),
-            F.lit(None).cast("map<string,double>").alias("hasil_ekstraksi"), "note")
-        records = records.unionByName(noted)
-    return records
+    """nama_file, period_kind, hasil_ekstraksi: one record per input row and period that has values, and a record for t
+    of every row with an error note (column `note`, optional). A projection of the row: documents of equal names keep
+    their own records."""
+    def record(kind: str, note: Column, values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("period_kind"), values.alias("hasil_ekstraksi"), note.alias("note"))
+
+    def values(name: str) -> Column:
+        return F.transform_values(F.map_filter("items", lambda k, pair: pair[name].isNotNull()), lambda k, pair: pair[name])
+    none = F.lit(None).cast("string")
+    note = F.col("note") if "note" in extracted.columns else none
+    candidates = F.array(record("t", none, values("t")), record("t-1", none, values("t_minus_1")),
+                         record("t", note, F.lit(None).cast("map<string,double>")))
+    kept = F.filter(candidates, lambda r: r["note"].isNotNull() | (F.size(r["hasil_ekstraksi"]) > 0))
+    # outer: a plain inline makes the optimizer evaluate the map once more in a filter below it
+    return extracted.select(F.col(name_col).alias("nama_file"), F.inline_outer(kept)).where(F.col("period_kind").isNotNull())
 
 
 def write_period_records(extracted: DataFrame, path: str, name_col: str = "nama_file", file_format: str = "json") -> None:

@@ -18,6 +18,13 @@ def test_roc_ties_and_missing_class(spark):
     assert sorted((r.fpr, r.tpr) for r in R.roc_points(single).collect()) == [(0, 0), (1, 1)]
 
 
+def test_ordered_pass_keeps_null_keys_and_balances_any_number_of_buckets(spark):
+    rows = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, 3), ("x", 1.0, 5)], "k string, v double, w long")
+    for buckets in (2, 64, 3000):
+        out = ordered_pass(rows, ["k"], "v", ["w"], buckets=buckets)
+        assert {(r.k, r.v, r.w_upto, r.w_total) for r in out.collect()} == {(None, 1.0, 2, 5), (None, 2.0, 5, 5), ("x", 1.0, 5, 5)}
+
+
 def test_ordered_pass_equals_a_sort(spark):
     rng = np.random.default_rng(3)
     values = rng.permutation(20000).astype(float).tolist()

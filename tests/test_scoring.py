@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
 from ledgermill.operators import scoring as S
+from ledgermill.operators.risk_model import train
 from ledgermill.operators.statements import canonical_items, canonical_map, period_pairs, statements
 
 T = {V.SALES: 108.249, V.ASSETS: 101.003, V.LIABILITIES: 16.289, V.NET_INCOME: 21.661, V.CURRENT_ASSETS: 19.238,
@@ -130,12 +131,35 @@ def test_pairs_do_not_bridge_gaps(spark):
         ("a", 2020): False, ("a", 2022): False, ("a", 2023): True, ("b", 2021): False}
 
 
+def test_repeated_statements_stay_and_share_one_earlier_period(spark):
+    rows = table(spark, ("a", 2022, T1), ("a", 2022, {**T1, V.SALES: 1.0}), ("a", 2023, T), ("a", 2023, {**T, V.SALES: 2.0}))
+    out = [(r["items"][V.SALES], r.items_t1 and r.items_t1[V.SALES]) for r in period_pairs(rows).collect()]
+    assert sorted(now for now, _ in out) == [1.0, 2.0, 95.0, 108.249]
+    old = {o for now, o in out if now in (2.0, 108.249)}
+    assert len(old) == 1 and old <= {1.0, 95.0}
+    again = period_pairs(rows.repartition(3)).where("period = 2023").collect()
+    assert {r.items_t1[V.SALES] for r in again} == old
+
+
+def test_combined_record_cleans_names_and_predicts(spark):
+    other = {("Total Aset" if k == V.ASSETS else k): v for k, v in T.items()}
+    rows = table(spark, ("a", 2, other), ("a", 1, T1))
+    assert S.score_companies(rows).where("period = 2").first()["altman"]["error"] is None
+    requests = spark.createDataFrame([("a", True, None, None, "Agro")],
+                                     "company string, is_public boolean, market_value_equity double, model_override string, sector string")
+    sample = spark.range(20).select((F.col("id") / 10).alias("CurrentRatio"), F.lit("Agro").alias(V.SECTOR),
+                                    F.when(F.col("id") < 10, "High").otherwise("Low").alias(V.TARGET))
+    out = S.score_companies(rows, requests, model=train(sample)).where("period = 2").first()
+    assert out["prediction"]["risk_category"] in ("High", "Low") and out["prediction"]["error"] is None and out["error"] is None
+    assert sum(out["prediction"]["probabilities"].values()) == pytest.approx(1.0) and out["altman"]["z_score"] is not None
+
+
 def test_global_error_order(spark):
     requests = spark.createDataFrame([("a", True, None, None, "Agro"), ("b", True, None, None, None)],
                                      "company string, is_public boolean, market_value_equity double, model_override string, sector string")
     rows = table(spark, ("a", 2, T), ("a", 1, T1), ("b", 2, T), ("c", 2, {}))
     errors = {(r.company, r.period): r.error for r in S.score_companies(rows, requests).collect()}
-    assert errors[("a", 2)] is None and errors[("c", 2)] == S.NO_T
+    assert errors[("a", 2)] == f"Prediksi Risiko Kredit ML gagal: {V.MODEL_NOT_LOADED}" and errors[("c", 2)] == S.NO_T
     assert errors[("a", 1)].startswith("Analisis Altman Z-Score gagal: Missing item")
     assert errors[("b", 2)].startswith("Prediksi Risiko Kredit ML gagal: Sektor")
 

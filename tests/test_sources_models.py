@@ -77,6 +77,8 @@ def test_writers(spark, folder):
     Wr.write_period_records(docs, str(folder / "out"))
     back = spark.read.json(str(folder / "out"))
     assert sorted((r.nama_file, r.period_kind) for r in back.collect()) == [("a", "t"), ("a", "t-1"), ("b", "t")]
+    twice = Wr.period_records(docs.unionByName(docs).drop("note")).collect()
+    assert sorted((r.nama_file, r.period_kind, r.hasil_ekstraksi["x"]) for r in twice) == [("a", "t", 1.0)] * 2 + [("a", "t-1", 2.0)] * 2
     records = spark.sql("SELECT 'PT. A' AS applicantName, timestamp'2024-01-01 00:00:00' AS lastUpdateTimestamp")
     Wr.write_risk_records(records, str(folder / "risk"))
     assert spark.read.json(str(folder / "risk")).first()["applicant_slug"] == "PT_A"

@@ -215,3 +215,13 @@ def test_replies_keep_addresses_inside_strings(spark):
     noted = 'Hasil: {"a//b": {"current_year": 1, /* c */ "previous_year": 2,}, // d\n}'
     items = apply(spark, replies.parse_statement_reply, [noted])[0]["items"]
     assert items["a//b"]["t"] == 1 and items["a//b"]["t_minus_1"] == 2
+
+
+def test_repeated_outlook_entries_do_not_double_applicants(spark):
+    rows = spark.createDataFrame([(1, "A", "B"), (2, "A", "C")], "id int, industry_main string, industry_sub string")
+    outlook = spark.createDataFrame([("A", "B", "Tinggi", 1), ("A", "B", "Rendah", 2)],
+                                    "industry_main string, industry_sub string, outlook string, pos int")
+    out = {r.id: r.outlook for r in sector_outlook(rows, outlook).collect()}
+    assert len(out) == 2 and out[1] == "Rendah"
+    assert {r.id: r.outlook for r in sector_outlook(rows, outlook.drop("pos")).collect()}[1] == "Tinggi"
+    assert sector_outlook(rows, outlook).count() == 2
