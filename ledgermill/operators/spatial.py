@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ledgermill import fixed_values as V
 from ledgermill.functions.amounts import maybe_numeric, parse_amount
 from ledgermill.functions.text import strip
+from ledgermill.session import materialise
 from ledgermill.sources.keywords import CORPORATE, KeywordSet
 
 _END = "\x01"
 _PUNCTUATION = r"(?U)[^\w\s]"
 SEQ_CHUNK = 8192          # words per chunk of a document; neighbouring chunks overlap by a phrase length
-CELL_WIDTH, CELL_HEIGHT = 512.0, 32.0
 
 
 def _clean(word):
@@ -70,7 +70,9 @@ def nearest_amounts(hits: DataFrame, boxes: DataFrame, keywords: KeywordSet = CO
     """For every document and item the amount with the smallest gap to the right of a phrase on its line.
 
     Amounts fall into grid cells and a phrase looks into the cells that its search area touches, so the join is an
-    equi join on (document, cell). Equal geometry is reduced to its earliest word or hit before the join.
+    equi join on (document, grid, cell). The cells of a phrase's grid are as large as its search area, rounded up to powers of
+    two: it touches six of them at most, in whatever unit the page is measured, and an amount stands once in every grid
+    that its document uses. Equal geometry is reduced to its earliest word or hit before the join.
     """
     digits = [p for _, _, p, _ in keywords.phrases() if any(ch.isdigit() for ch in p)]
     phrase_words = sorted({w for p in digits for w in p.split()})
@@ -82,21 +84,25 @@ def nearest_amounts(hits: DataFrame, boxes: DataFrame, keywords: KeywordSet = CO
                 F.when(own_word, F.col("seq")).alias("own"))
         .where(F.col("value").isNotNull())
         .groupBy("doc_id", "left", "mid", "own")
-        .agg(F.min("word_seq").alias("word_seq"), F.min_by("value", "word_seq").alias("value"))
-        .withColumns({"cell_x": F.floor(F.col("left") / CELL_WIDTH), "cell_y": F.floor(F.col("mid") / CELL_HEIGHT)}))
-    phrases = (
+        .agg(F.min("word_seq").alias("word_seq"), F.min_by("value", "word_seq").alias("value")))
+    phrases = materialise(                              # read twice: for the grids and for the search
         hits.withColumn("own", F.lit(None).cast("bigint") if not phrase_words else F.col("seq"))
         .groupBy("doc_id", "item", "right", "width", "height", "centre", "own")
         .agg(F.min(F.struct("var_ord", "seq", "words")).alias("first"))
         .withColumns({"reach_y": F.col("height") * V.VERTICAL_FACTOR, "reach_x": F.col("width") * V.HORIZONTAL_FACTOR})
-        .where((F.col("reach_y") > 0) & (F.col("reach_x") > 0)))
+        .where((F.col("reach_y") > 0) & (F.col("reach_x") > 0))
+        .withColumns({"grid_x": F.ceil(F.log2("reach_x")).cast("int"), "grid_y": F.ceil(F.log2("reach_y")).cast("int")}))
+    width, height = F.pow(F.lit(2.0), F.col("grid_x")), F.pow(F.lit(2.0), F.col("grid_y"))
+    grids = phrases.select("doc_id", "grid_x", "grid_y").distinct()
+    celled = amounts.drop("own").join(grids, "doc_id").withColumns(
+        {"cell_x": F.floor(F.col("left") / width), "cell_y": F.floor(F.col("mid") / height)})
     looked = phrases.withColumn("cell_x", F.explode(F.sequence(
-        F.floor(F.col("right") / CELL_WIDTH), F.floor((F.col("right") + F.col("reach_x")) / CELL_WIDTH)))).withColumn(
+        F.floor(F.col("right") / width), F.floor((F.col("right") + F.col("reach_x")) / width)))).withColumn(
         "cell_y", F.explode(F.sequence(
-            F.floor((F.col("centre") - F.col("reach_y")) / CELL_HEIGHT),
-            F.floor((F.col("centre") + F.col("reach_y")) / CELL_HEIGHT))))
+            F.floor((F.col("centre") - F.col("reach_y")) / height),
+            F.floor((F.col("centre") + F.col("reach_y")) / height))))
     gap = F.col("left") - F.col("right")
-    near = looked.join(amounts.drop("own"), ["doc_id", "cell_x", "cell_y"]).where(
+    near = looked.join(celled, ["doc_id", "grid_x", "grid_y", "cell_x", "cell_y"]).where(
         (gap > 0) & (gap < F.col("reach_x")) & (F.abs(F.col("centre") - F.col("mid")) < F.col("reach_y"))
         & ~((F.col("word_seq") >= F.col("first.seq")) & (F.col("word_seq") < F.col("first.seq") + F.col("first.words"))))
     return near.groupBy("doc_id", "item").agg(F.min_by(

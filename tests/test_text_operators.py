@@ -141,6 +141,11 @@ def test_spatial(spark):
     base = [("d", 0, "Jumlah", 0., 0., 24., 10.), ("d", 1, "aset:", 26., 0., 50., 10.), ("d", 2, "9", 90., 0., 99., 10.),
             ("d", 3, "7", 60., 0., 70., 10.), ("d", 4, "8", 55., 20., 70., 30.), ("d", 5, "abc5", 52., 0., 58., 10.)]
     assert [(r.item, r.value) for r in spatial_extract(boxes(base)).collect()] == [("Jumlah aset", 7.0)]
+    for unit in (0.001, 1000.0):        # pages measured in 0..1 and in tiny units: same result, few cells
+        scaled = [(*b[:3], *[x * unit for x in b[3:]]) for b in base]
+        assert [(r.item, r.value) for r in spatial_extract(boxes(scaled)).collect()] == [("Jumlah aset", 7.0)]
+    mixed = base + [("d", 6, "ekuitas", 0., 5000., 400., 5100.), ("d", 7, "11", 900., 5000., 950., 5100.)]      # two grids in one document
+    assert {(r.item, r.value) for r in spatial_extract(boxes(mixed)).collect()} == {("Jumlah aset", 7.0), ("Jumlah ekuitas", 11.0)}
     far = [("d", 0, "ekuitas", 0., 0., 10., 10.), ("d", 1, "7", 60., 0., 70., 10.)]           # 50 is not below 5 x 10
     assert spatial_extract(boxes(far)).count() == 0
     tie = base[:2] + [("d", 2, "3", 60., 0., 70., 10.), ("d", 3, "4", 60., 1., 70., 9.)]
