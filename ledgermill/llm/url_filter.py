@@ -2,7 +2,7 @@
 
 Outcomes of labelled pages are counted per host. Each level - all, public suffix, registered domain, host - has a beta
 prior centred on the posterior mean of the level above, so a host with few labels is judged by its domain and a domain with
-few labels by its suffix. A host is blocked when even the lower bound of its posterior share of bad pages is above a limit.
+few labels by its suffix; a host without labels has the posterior of its domain, else of its suffix, else of all. A host is blocked when even the lower bound of its posterior share of bad pages is above a limit.
 """
 
 from __future__ import annotations
@@ -56,13 +56,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def host_reputation(outcomes: DataFrame, strength: float = STRENGTH, deviations: float = DEVIATIONS) -> DataFrame:
-    """host, rate, bound from rows of (host, bad) with bad 0 or 1.
+    """host, rate, bound of every host in rows of (host, bad) with bad 0, 1 or null.
 
     Counts are summed per host first (combined before the shuffle), so a host with a third of all pages is one row from
-    there on. Rows of null host or null outcome count for nothing.
+    there on. A null outcome counts for nothing but names its host, which is judged by the levels above. Null hosts go.
     """
-    hosts = (outcomes.where(F.col("host").isNotNull() & F.col("bad").isNotNull())
-             .groupBy("host").agg(F.sum(F.col("bad").cast("double")).alias("b"), F.count(F.lit(1)).cast("double").alias("n"))
+    hosts = (outcomes.where(F.col("host").isNotNull())
+             .groupBy("host").agg(F.coalesce(F.sum(F.col("bad").cast("double")), F.lit(0.0)).alias("b"), F.count("bad").cast("double").alias("n"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("b").alias("b_d"), F.sum("n").alias("n_d"))
     suffixes = domains.groupBy("suffix").agg(F.sum("b_d").alias("b_s"), F.sum("n_d").alias("n_s"))
@@ -83,12 +83,12 @@ def host_reputation(outcomes: DataFrame, strength: float = STRENGTH, deviations:
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
     """All columns of `pages` with `_host`, `_path`, `_rule`, `_verdict`, `_bound`.
 
-    `outcomes` has (page_id, bad). A null url or one without :// has empty host and path and fits no rule. A host without
-    labels has no bound and is allowed. Repeated pages are judged alike; a page labelled twice counts twice.
+    `outcomes` has (page_id, bad). A null url or one without :// has empty host and path, fits no rule, has no bound and is
+    allowed. Every other host has a bound, with labels or without. Repeated pages are judged alike; a page labelled twice counts twice.
     """
     placed = pages.withColumns({"_host": host_of(F.col("url")), "_path": path_of(F.col("url"))})
     labelled = placed.select("page_id", F.col("_host").alias("host")).where(F.col("host") != "").join(
-        outcomes.select("page_id", "bad"), "page_id").select("host", "bad")
+        outcomes.select("page_id", "bad"), "page_id", "left").select("host", "bad")
     reputation = host_reputation(labelled).select(F.col("host").alias("_rep_host"), F.col("bound").alias("_bound"))
     ruled = placed.withColumn("_fit", rule_of(F.col("_host"), F.col("_path"), rules))
     # one row per host on the right; Spark broadcasts it while it is small and splits a hot host beyond that

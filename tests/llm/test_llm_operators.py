@@ -161,6 +161,28 @@ def test_url_filter(spark):
     assert found[6]["_verdict"] == "block" and found[7]["_verdict"] == "allow" and found[7]["_rule"] is None
 
 
+def test_url_filter_judges_hosts_without_labels(spark):
+    """A host without labels has the posterior bound of its domain, else of its suffix, else of all pages."""
+    urls = [(1, "http://www.bad.org/a"), (2, "http://new.bad.org/a"), (3, "http://good.uk/"), (4, "http://x.good.uk/"),
+            (5, "http://other.org/"), (6, "http://nowhere.xyz/"), (7, "http://b.co.uk/"), (8, None)]
+    outcomes = [(1, 1)] * 4000 + [(3, 0)] * 1000 + [(2, None)]
+    found = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"),
+                                                    spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+    share = 4001 / 5002
+    org, uk = (4000 + 20 * share) / 4020, 20 * share / 1020
+    bad, good = (4000 + 20 * org) / 4020, 20 * uk / 1020
+
+    def bound(b, n, prior):
+        rate = (b + 20 * prior) / (n + 20)
+        return rate - 2 * math.sqrt(rate * (1 - rate) / (n + 21))
+    expected = {1: bound(4000, 4000, bad), 2: bound(0, 0, bad), 3: bound(0, 1000, good), 4: bound(0, 0, good),
+                5: bound(0, 0, org), 6: bound(0, 0, share), 7: bound(0, 0, share)}
+    assert all(math.isclose(found[i]["_bound"], expected[i], rel_tol=1e-9) for i in expected) and found[8]["_bound"] is None
+    assert [found[i]["_verdict"] for i in range(1, 9)] == ["block", "block", "allow", "allow", "block", "block", "block", "allow"]
+    alone = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()
+    assert len(alone) == 8 and {r["_verdict"] for r in alone} == {"allow"}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b<next>\\l"), (1, 2, "assistant", "é</turn>\\"), (1, 2, "assistant", "é</turn>\\"),
             (2, 0, None, None), (None, 3, "assistant", ""), (chat_format.TRAP_ID, 0, "user", chat_format.TRAP_TEXT)]
