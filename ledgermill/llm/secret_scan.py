@@ -28,9 +28,11 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: The token-efficiency test: shortest run, and most characters per token of a random string.
 LEAST_RANDOM, MOST_CHARS_PER_TOKEN = 20, 1.9
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
-#: Set aside: hex digests of the usual lengths, UUIDs, plain numbers, and words joined to identifiers.
+#: Set aside: hex digests of the usual lengths, UUIDs and plain numbers. Words and identifiers pass by the ratio alone.
 KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-                   r"|[0-9+/=_-]+|[A-Za-z]+(?:[-_/+=]+[A-Za-z]*)*|(?:[a-z]+[-_/])+[0-9]+")
+                   r"|[0-9+/=_-]+")
+#: Words with a number at the end; only the words are tested, since long numbers take many tokens.
+NUMBERED = re.compile(r"((?:[a-z]+[-_/])+)[0-9]+")
 REPLACEMENT = "[SECRET]"
 
 
@@ -53,6 +55,9 @@ def random_spans(text: str, base: list[tuple[int, int, int]], path: str = TOKENI
     found = []
     for run in RUN.finditer(text):
         word = run[0].strip("=-_/+")
+        numbered = NUMBERED.fullmatch(word)
+        if numbered:
+            word = numbered[1].strip("=-_/+")
         start, end = run.span()
         if len(word) < LEAST_RANDOM or KNOWN.fullmatch(word) or any(s < end and start < e for s, _, e in base):
             continue

@@ -215,6 +215,21 @@ def test_secret_scan(spark, docs, empty):
     assert secret_scan.redact(docs).columns == docs.columns and secret_scan.report(empty).count() == 0
 
 
+def test_secret_scan_letters_only(spark):
+    """The ratio decides on runs of letters too: random ones are found, words, identifiers and long compounds are not."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    keys = ["".join(rng.choice(letters, 32)) for _ in range(20)]
+    plain = ["this_is_a_long_identifier_name", "internationalization-and-localization", "getElementsByTagNameWithNamespace",
+             "configuration/production/accounts", "this_is_the_number_of_rows_20240131235959", "12345678901234567890123",
+             "123e4567-e89b-12d3-a456-426614174000", "counterrevolutionaries"]
+    rows = [(i, f"see {w} here") for i, w in enumerate(keys + plain)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secret_scan.report(table).collect()}
+    assert all(found[i] == "random:4:36" for i in range(20)) and not any(found[i] for i in range(20, len(rows)))
+    assert all(r.text == "see [SECRET] here" for r in secret_scan.redact(table.where("doc_id < 20")).collect())
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "source_mix"]
