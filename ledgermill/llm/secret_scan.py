@@ -31,6 +31,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RANDOM)
 #: Set aside: hex digests of the usual lengths, UUIDs and plain numbers. Words and identifiers pass by the ratio alone.
 KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
                    r"|[0-9+/=_-]+")
+#: The same next to other parts of a run: digests and UUIDs between separators.
+KNOWN_PART = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{128}|[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32}"
+                        r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
 #: Words with a number at the end; only the words are tested, since long numbers take many tokens.
 NUMBERED = re.compile(r"((?:[a-z]+[-_/])+)[0-9]+")
 REPLACEMENT = "[SECRET]"
@@ -50,19 +54,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _efficient(word: str, path: str, ratio: float) -> bool:
+    """Whether a string has more than `ratio` characters per token."""
+    return len(word) > ratio * len(encoder(path).encode_ordinary(word))
+
+
+def _is_random(word: str, path: str, ratio: float) -> bool:
+    word = word.strip("=-_/+")
+    numbered = NUMBERED.fullmatch(word)
+    if numbered:
+        word = numbered[1].strip("=-_/+")
+    return len(word) >= LEAST_RANDOM and not KNOWN.fullmatch(word) and not _efficient(word, path, ratio)
+
+
+def _left_over(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pieces of start to end outside the cuts, which are disjoint and in order."""
+    pieces = []
+    for s, e in cuts:
+        if s > start:
+            pieces.append((start, s))
+        start = max(start, e)
+    if start < end:
+        pieces.append((start, end))
+    return pieces
+
+
+def _random_parts(text: str, start: int, end: int, path: str, ratio: float) -> list[tuple[int, int]]:
+    """The random parts of a piece without known spans: what is random between its words, else single parts. A word is a
+    part of letters only that is packed well; a secret may itself hold separators."""
+    if end - start < LEAST_RANDOM:
+        return []
+    groups: list[list[tuple[int, int]]] = [[]]
+    for part in PART.finditer(text, start, end):
+        if part[0].isalpha() and _efficient(part[0], path, ratio):
+            groups.append([])
+        else:
+            groups[-1].append(part.span())
+    found = []
+    for group in groups:
+        if group and _is_random(text[group[0][0]:group[-1][1]], path, ratio):
+            found.append((group[0][0], group[-1][1]))
+        else:
+            found += [(s, e) for s, e in group if _is_random(text[s:e], path, ratio)]
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], path: str = TOKENIZER, ratio: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Runs of key characters with at most `ratio` characters per token that touch no base span."""
+    """What has at most `ratio` characters per token in runs of key characters, outside base spans: what is left of a run as a
+    whole, else its parts outside known identifiers."""
     found = []
+    cuts: list[tuple[int, int]] = []        # base spans, those that overlap as one
+    for s, _, e in base:
+        if cuts and s < cuts[-1][1]:
+            cuts[-1] = cuts[-1][0], max(cuts[-1][1], e)
+        else:
+            cuts.append((s, e))
+    first = 0
     for run in RUN.finditer(text):
-        word = run[0].strip("=-_/+")
-        numbered = NUMBERED.fullmatch(word)
-        if numbered:
-            word = numbered[1].strip("=-_/+")
         start, end = run.span()
-        if len(word) < LEAST_RANDOM or KNOWN.fullmatch(word) or any(s < end and start < e for s, _, e in base):
-            continue
-        if len(word) <= ratio * len(encoder(path).encode_ordinary(word)):
-            found.append((start, 3, end))
+        while first < len(cuts) and cuts[first][1] <= start:
+            first += 1
+        last = first
+        while last < len(cuts) and cuts[last][0] < end:
+            last += 1
+        for s, e in _left_over(start, end, [(max(s, start), min(e, end)) for s, e in cuts[first:last]]):
+            if _is_random(text[s:e], path, ratio):
+                found.append((s, 3, e))
+                continue
+            known = [m.span() for m in KNOWN_PART.finditer(text, s, e)]
+            for a, b in _left_over(s, e, known):
+                found += [(x, 3, y) for x, y in _random_parts(text, a, b, path, ratio)]
     return found
 
 
