@@ -2,7 +2,8 @@
 
 Every page is parsed once into text blocks and element subtrees. Subtrees are hashed and counted per host in Spark; one that
 recurs on many pages of its host is template and goes. Elements whose tag or class says that they are menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments go at once.
+footers, sidebars, notices, adverts, forms or reader comments go at once; inside an article or main element a class says so
+only of adverts, menus, comments, share and related links and newsletters.
 """
 
 from __future__ import annotations
@@ -21,15 +22,22 @@ from ledgermill.llm.url_filter import host_of
 #: A subtree is template if it is on so many pages of a host and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 10, 0.05
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CHROME = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
+#: Outside article and main: one such word in a class or id, the last four only as the whole name.
 CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|"
-    r"sidebar|side|footer|foot|masthead|header|head|topbar|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|search|pagination|pager|skip|widget)(?:$|[\s_-])", re.I)
+    r"sidebar|footer|masthead|topbar|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|"
+    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|search|pagination|pager|skip|widget)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:header|head|foot|side)(?:$|\s)", re.I)
+#: Inside them: names that are such a word, with words of place before and of form after it.
+CLEAR_NAME = re.compile(
+    r"(?:^|\s)(?:(?:article|entry|page|post|site|social)[_-])*(?:ads?|adverts?|advertisements?|advertising|nav|navbar|navigation|comments?|commentlist|disqus|"
+    r"share|sharing|related|newsletter)(?:[_-](?:area|articles?|bars?|block|box|buttons?|container|form|icons?|items?|links?|list|menu|posts?|section|signup|slot|"
+    r"stories|unit|widget|wrapper|\d+))*(?:$|\s)", re.I)
 #: Elements that begin and end a block of text.
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4",
           "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -47,7 +55,7 @@ def _is_chrome(tag: str, attributes: str, inside_article: bool) -> bool:
         name = name.lower()
         if name == "role" and value in CHROME_ROLES or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and CHROME_NAME.search(value):
+        if name in ("class", "id") and tag not in ("html", "body", "main", "article") and (CLEAR_NAME if inside_article else CHROME_NAME).search(value):
             return True
         if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value):
             return True
