@@ -11,16 +11,20 @@ from __future__ import annotations
 import hashlib
 import html as character_references
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.url_filter import host_of
+from ledgermill.session import materialise
 
-#: A subtree is template if it is on so many pages of a host and on such a share of them.
+#: A subtree is template if it is on so many different pages of a host and on such a share of them.
 LEAST_PAGES, LEAST_SHARE = 10, 0.05
+#: On hosts with few different pages it must be on half of them and on so many at least. Above so many the share falls with
+#: the root of their number: chance does not repeat a text more often on a larger host, and menus have more variants there.
+FEW_PAGES, MANY_PAGES = 3, 400
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"}
@@ -62,6 +66,10 @@ def _is_chrome(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def _hash(parts: Iterable[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Blocks of text with the hashes of the judged subtrees around each, and all judged hashes of the page.
 
@@ -87,7 +95,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 flush()
             tag, _, index, parts = stack.pop()
             if index is not None:
-                judged[index] = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                judged[index] = _hash(parts)
             if stack:
                 stack[-1][3].extend((f"<{tag}>", *parts, "</>"))
 
@@ -148,32 +156,41 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (array of text, subtrees), subtrees."""
+    """page_id, url, host, blocks (array of text, subtrees), subtrees, content (hash of the texts of the blocks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.list_(pa.struct([("text", pa.string()), ("subtrees", pa.list_(pa.int64()))]))
         for batch in batches:
             found = [parse(h.as_py()) for h in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([[{"text": t, "subtrees": s} for t, s in f[0]] for f in found], block),
-                 pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["page_id", "url", "host", "blocks", "subtrees"])
+                 pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([_hash(b[0] for b in f[0]) for f in found], pa.int64())],
+                names=["page_id", "url", "host", "blocks", "subtrees", "content"])
     return pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        run, "page_id long, url string, host string, blocks array<struct<text:string,subtrees:array<bigint>>>, subtrees array<bigint>")
+        run, "page_id long, url string, host string, blocks array<struct<text:string,subtrees:array<bigint>>>, subtrees array<bigint>, content long")
+
+
+def least_recurrence(pages: Column, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> Column:
+    """On how many different pages of a host with so many a subtree must be to be template."""
+    few = F.least(F.lit(float(least_pages)), F.greatest(F.lit(float(FEW_PAGES)), pages / 2))
+    return F.greatest(few, F.least(pages * least_share, F.sqrt(pages * MANY_PAGES) * least_share))
 
 
 def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, subtree, pages of the subtrees that recur. Counts are combined before the shuffle, so a subtree on every page of
-    a host with a third of all pages is still one row per task. Per host there are at most 1 / least_share times as many
-    as a page has subtrees."""
-    counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
-    hosts = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    often = counts.where(F.col("pages") >= least_pages)
-    return often.join(hosts, "host").where(F.col("pages") >= F.col("host_pages") * least_share).select("host", "subtree", "pages")
+    """host, subtree, pages of the subtrees that recur. Pages of equal content count once, so copies of a page do not make
+    its own text recur. Counts are combined before the shuffle, so a subtree on every page of a host with a third of all
+    pages is still one row per task. The page itself is counted as a null subtree; only what recurs is kept for the join."""
+    each = parsed.select("host", "content", F.explode(F.concat("subtrees", F.array(F.lit(None).cast("bigint")))).alias("subtree")).distinct()
+    counts = materialise(each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
+                         .where(F.col("subtree").isNull() | (F.col("pages") >= min(FEW_PAGES, least_pages))))
+    hosts = counts.where(F.col("subtree").isNull()).select("host", F.col("pages").alias("host_pages"))
+    return (counts.where(F.col("subtree").isNotNull()).join(hosts, "host")
+            .where(F.col("pages") >= least_recurrence(F.col("host_pages"), least_pages, least_share)).select("host", "subtree", "pages"))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text: the blocks of the main text joined by two line breaks, in page order.
 
-    Null or empty html: empty text. Null url: its pages share the host "". Repeated rows are pages of their own; equal
+    Null or empty html: empty text. Null url: its pages share the host "". Repeated rows all stay, but count once as template; equal
     page_ids with different urls are kept apart by host. Extra columns are not read; an empty table gives an empty one.
     Most pages have no judged subtree left around their article, so they pass by the join.
     """
