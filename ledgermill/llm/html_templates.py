@@ -46,7 +46,8 @@ CLEAR_NAME = re.compile(
 BLOCKS = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4",
           "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
           *CHROME, "fieldset"}
-#: Elements of which recurring subtrees count as template. Paragraphs and headings of an article are never judged so.
+#: Elements of which recurring subtrees count as template. Paragraphs, headings and items of an article are never judged so
+#: by themselves: near copies of a page would lose what they share, and a title may recur.
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "header", "center", "blockquote"}
 CLOSES_P = BLOCKS - {"body", "html"}
 
@@ -70,18 +71,15 @@ def _hash(parts: Iterable[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks of text with the hashes of the judged subtrees around each, and all judged hashes of the page.
-
-    If the page has an article or main element, only blocks inside one count. Missing end tags are closed by their parents, by
-    the next block or by the end of the page.
+def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
+    """Blocks of text, whether an article or main element is around each and the hashes of the judged subtrees around it, and
+    all judged hashes of the page. Missing end tags are closed by their parents, by the next block or by the end of the page.
     """
     html = html or ""
     blocks: list[list] = []             # text, inside article, open judged elements
     stack: list[list] = []              # tag, chrome above or here, judged index or None, content hash parts
     judged: list = []                   # hash of each judged subtree, in order of its start
     text: list[str] = []
-    has_root = False
 
     def flush() -> None:
         value = " ".join(character_references.unescape("".join(text)).split())
@@ -141,7 +139,6 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             flush()
         inside = any(s[0] in ("article", "main") for s in stack)
         chrome = bool(stack and stack[-1][1]) or _is_chrome(tag, found[3], inside)
-        has_root |= tag in ("article", "main") and not chrome
         index = None
         if tag in CONTAINERS or chrome and tag in BLOCKS or (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") and not inside):
             index = len(judged)
@@ -151,22 +148,21 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     flush()
     close(0)
     flush()
-    kept = [(b[0], [judged[i] for i in b[2]]) for b in blocks if b[1] or not has_root]
-    return kept, sorted(set(judged))
+    return [(b[0], b[1], [judged[i] for i in b[2]]) for b in blocks], sorted(set(judged))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks (array of text, subtrees), subtrees, content (hash of the texts of the blocks)."""
+    """page_id, url, host, blocks (array of text, inside, subtrees), subtrees, content (hash of the texts of the blocks)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("text", pa.string()), ("subtrees", pa.list_(pa.int64()))]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("subtrees", pa.list_(pa.int64()))]))
         for batch in batches:
             found = [parse(h.as_py()) for h in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([[{"text": t, "subtrees": s} for t, s in f[0]] for f in found], block),
+                [*batch.columns[:3], pa.array([[{"text": t, "inside": i, "subtrees": s} for t, i, s in f[0]] for f in found], block),
                  pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([_hash(b[0] for b in f[0]) for f in found], pa.int64())],
                 names=["page_id", "url", "host", "blocks", "subtrees", "content"])
     return pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        run, "page_id long, url string, host string, blocks array<struct<text:string,subtrees:array<bigint>>>, subtrees array<bigint>, content long")
+        run, "page_id long, url string, host string, blocks array<struct<text:string,inside:boolean,subtrees:array<bigint>>>, subtrees array<bigint>, content long")
 
 
 def least_recurrence(pages: Column, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> Column:
@@ -187,12 +183,21 @@ def templates(parsed: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
             .where(F.col("pages") >= least_recurrence(F.col("host_pages"), least_pages, least_share)).select("host", "subtree", "pages"))
 
 
+def main_blocks(blocks: Column) -> Column:
+    """The blocks inside article and main elements if they hold most of the text, else all."""
+    def length(these: Column) -> Column:
+        return F.aggregate(these, F.lit(0), lambda n, b: n + F.char_length(b["text"]))
+    inside = F.filter(blocks, lambda b: b["inside"])
+    return F.when(2 * length(inside) > length(blocks), inside).otherwise(blocks)
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url, text: the blocks of the main text joined by two line breaks, in page order.
 
     Null or empty html: empty text. Null url: its pages share the host "". Repeated rows all stay, but count once as template; equal
     page_ids with different urls are kept apart by host. Extra columns are not read; an empty table gives an empty one.
-    Most pages have no judged subtree left around their article, so they pass by the join.
+    Templates go first, then what is outside articles if those hold most of the rest. Pages without a judged subtree around
+    their blocks pass by the join.
     """
     parsed = parse_pages(pages)
     inner = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["subtrees"])))
@@ -205,7 +210,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     judged = asked.join(hits, asked["page_id"].eqNullSafe(hits["_page"]) & (asked["host"] == hits["_host"]), "left").withColumn(
         "blocks", F.filter("blocks", lambda b: F.col("_drop").isNull() | ~F.arrays_overlap(b["subtrees"], F.col("_drop"))))
     both = plain.select("page_id", "url", "blocks").unionByName(judged.select("page_id", "url", "blocks"))
-    return both.select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
+    return both.withColumn("blocks", main_blocks(F.col("blocks"))).select("page_id", "url", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
