@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgermill.llm import decontamination, language_id, mixing, ngram_join, secret_scan
 from ledgermill.session import shared_folder
 
-#: SQL cannot express hash draws and learned profiles; tests compare each stage with a brute-force version.
+#: SQL cannot express hash draws and learned profiles; tests check three stages on planted cases, README says what is not compared.
 ORACLE_SQL = None
 
 

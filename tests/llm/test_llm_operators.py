@@ -305,6 +305,35 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_stages_on_planted_cases(spark):
+    """Near copies, contaminated documents and secrets of a small table, against plain versions of the three stages."""
+    import corpus_pipeline
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(3).collect()]
+    rng = np.random.default_rng(8)
+    texts = {i: " ".join(f"word{x}" for x in rng.integers(0, 400, 60)) for i in range(20)}
+    texts |= {100 + i: texts[i] + " end" for i in range(5)} | {200 + i: texts[i] for i in range(3)}
+    texts |= {300 + i: f"{texts[10 + i]} {t} {texts[13 + i]}" for i, t in enumerate(items)}
+    key = "q8Zk2vX9pLw3RtY7uBn5JmD4sHf6"
+    texts |= {400: f"a key {key} here", 401: "password = abc12345 is gone", 402: "nothing to hide"}
+    rows = [(i, t, "en", "a", len(t)) for i, t in texts.items()]
+
+    def shingles(text, pattern, fold):
+        w = re.findall(pattern, fold(text))
+        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+    sets = {i: shingles(t, r"\S+", str.lower) for i, t in texts.items()}
+    gone = {b for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    item_sets = [shingles(t, r"[^\W_]+", str.lower) for t in items]
+    leaks = {i for i, t in texts.items() for s in item_sets if 100 * len(shingles(t, r"[^\W_]+", str.lower) & s) >= 80 * len(s)}
+    assert gone == {100, 101, 102, 103, 104, 200, 201, 202} and leaks == {300, 301, 302}
+    expected = {i: t for i, t in texts.items() if i not in gone | leaks}
+    expected |= {400: "a key [SECRET] here", 401: "[SECRET] is gone"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+    found = docs.collect()
+    assert len(found) == len(expected) and {r.doc_id: r.text for r in found} == expected and all(r.n_chars == len(r.text) for r in found)
+
+
 def test_signature_difference_never_exceeds_set_difference():
     """Parity signatures, folded where lengths differ, bound the number of differing shingles from below."""
     rng = np.random.default_rng(5)
