@@ -1,6 +1,8 @@
 """DuckDB SQL for the queries that SQL can express. Hash draws, learned profiles, vocabularies, index searches and HTML trees
 have no SQL form; their tests compare with brute-force versions."""
 
+from itertools import permutations
+
 _SHINGLES = """
 {name}_words AS (SELECT {key} AS k, {words} AS w FROM {table}),
 {name}_shingles AS (
@@ -55,9 +57,65 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(length(et) + CASE WHEN before IS NULL THEN 7 + length(er) WHEN before = role THEN 6 ELSE 14 + length(er) END)::BIGINT + 7 AS formatted_chars
 FROM escaped GROUP BY conv_id"""
 
+_EQUAL_TEXTS = r"""WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM plain WINDOW same AS (PARTITION BY x)"""
+
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+_AUDIT = r"""WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+split AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY x) AS later FROM texts),
+flags AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x))::INT
+         + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(later, false)::INT AS mask
+  FROM split LEFT JOIN flags USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM masks GROUP BY ALL),
+orders (filter_order) AS (VALUES """ + _ORDERS + r"""),
+steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+applied AS (
+  SELECT c.*, s.filter_order, s.step, bit, mask & bit <> 0 AS fails, mask & coalesce(before, 0)::BIGINT <> 0 AS gone FROM counts c, steps s)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+       coalesce(sum(t) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+       sum(sum(n) FILTER (fails AND NOT gone)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM applied GROUP BY part, filter_order, step, bit"""
+
+
+def _rounds(rounds: int = 10) -> str:
+    """Lloyd rounds as a chain of common table expressions: c0, a0, c1, a1, ... with exact floor means."""
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    text = """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT *, sha256('3:' || vec_id) AS h FROM v ORDER BY h, x LIMIT 8))"""
+    for i in range(rounds + 1):
+        text += f""",
+a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, k := k)) AS best FROM (
+  SELECT r, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}) GROUP BY r)"""
+        if i < rounds:
+            text += f""",
+c{i + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+  SELECT k, list({floor} ORDER BY p) AS m FROM (
+    SELECT best.k AS k, p, sum(x[p]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(p) GROUP BY ALL) GROUP BY k) USING (k))"""
+    return text + f"""
+SELECT vec_id, best.k::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.k)::BIGINT AS cluster_inertia,
+       sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON k = best.k"""
+
+
 ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": _GROUPS,
     "op5_benchmark_decontamination": _CONTAINED,
     "op7_url_filter": _VERDICTS,
     "op8_chat_format": _DIGESTS,
+    "op11_centroid_clusters": _rounds(),
+    "op12_exact_dedup": _EQUAL_TEXTS,
+    "op13_filter_audit": _AUDIT,
 }

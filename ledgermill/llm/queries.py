@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm import (chat_format, decontamination, html_templates, language_id, mixing, ngram_join, secret_scan,
-                            token_counts, url_filter, vector_search)
+from ledgermill.llm import (chat_format, decontamination, exact_dedup, filter_audit, heap_clusters, html_templates, language_id,
+                            mixing, ngram_join, secret_scan, token_counts, url_filter, vector_search)
 from ledgermill.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,6 +57,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_clusters.cluster(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_benchmark_decontamination,
-    op6_nearest_neighbours, op7_url_filter, op8_chat_format, op9_html_extraction, op10_secret_scan)}
+    op6_nearest_neighbours, op7_url_filter, op8_chat_format, op9_html_extraction, op10_secret_scan,
+    op11_centroid_clusters, op12_exact_dedup, op13_filter_audit)}
