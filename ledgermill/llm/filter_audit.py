@@ -4,8 +4,8 @@ Every document gets a mask with one bit per filter it fails. Four bits depend on
 document of smaller id has the same text, which is only known once all files have been seen. All files are read as
 available-now micro-batches. State keyed by the text keeps the least id so far and the counter rows it stands for: when a
 smaller id arrives, the earlier mask is taken back from the counters (a negative row) and counted again with the duplicate
-bit. The counters of a batch are one small file set named by the batch, so a replayed batch replaces its own. Everything
-asked about orders of filters is then a sum over masks, of which a part has at most 32.
+bit. State and counters are Parquet tables with a part per batch; a replayed batch reads the parts before its own and
+replaces its own. Everything asked about orders of filters is then a sum over masks, of which a part has at most 32.
 """
 
 from __future__ import annotations
@@ -13,34 +13,25 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgermill.llm.sizes import broadcast_if_small
-from ledgermill.session import shared_folder
+from ledgermill.session import materialise, shared_folder
 
 FILTERS = "ABCDE"
 DUPLICATE = 16
 SPACE = r"[\x20\x09-\x0D]+"
-#: The files are read in about so many micro-batches, whatever their number, so the state is written as many times.
+#: The files are read in about so many micro-batches, whatever their number, so the state is read as many times.
 MICRO_BATCHES = 4
-STATE_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-}
 _ROW = "key binary, doc_id bigint, settled boolean, part string, mask int, flags int, n bigint"
-_DELTA = "part string, mask int, flags int, n bigint"
-_STATE = "least bigint, mask int, parts array<string>, flags array<int>, counts array<bigint>"
+_COUNTER = "part string, mask int, flags int, n bigint"
+_STATE = "key binary, doc_id bigint, part string, mask int, flags int, n bigint"
 
 
 def text_mask(text: Column) -> Column:
@@ -69,9 +60,8 @@ def masked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts equal rows of a batch before the shuffle. A row above the least id of its text in this batch is settled: it
-    fails as a duplicate whatever comes, so it leaves its text's key for one of its task. A frequent text thus sends a
-    row or two per batch. Rows without an id are settled as well: none is smaller than they, and they are smaller than none."""
-    own = f"task {TaskContext.get().partitionId()}".encode()
+    fails as a duplicate whatever comes, so it gives up the key of its text. A frequent text thus sends a row or two per
+    batch. Rows without an id are settled as well: none is smaller than they, and they are smaller than none."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -84,59 +74,32 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = known & (ids > least[code])
         settled = above | ~known
         table = pa.table({
-            "key": pc.if_else(pa.array(settled), pa.scalar(own, batch["key"].type), batch["key"]), "doc_id": np.where(settled, 0, ids), "settled": settled,
+            "key": pc.if_else(pa.array(settled), pa.scalar(b"", batch["key"].type), batch["key"]), "doc_id": np.where(settled, 0, ids), "settled": settled,
             "part": batch["part"], "mask": batch["mask"].to_numpy() + DUPLICATE * above.astype(np.int32), "flags": batch["flags"],
             "n": np.ones(len(ids), np.int64)})
         names = ["key", "doc_id", "settled", "part", "mask", "flags"]
         yield from table.group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"]).to_batches()
 
 
-def revise(key: tuple, tables: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counter changes of one text in one micro-batch. The state holds the least id and what its rows count for; a text
-    whose least id has many rows keeps one entry per part and label."""
-    changes: dict[tuple, int] = {}
-    least, mask, held = None, 0, {}
-    if state.exists:
-        least, mask, parts, flags, counts = state.get
-        held = dict(zip(zip(parts, flags), counts))
-
-    def change(part: str, bits: int, flag: int, n: int) -> None:
-        changes[part, bits, flag] = changes.get((part, bits, flag), 0) + n
-    touched = False
-    for table in tables:
-        for doc_id, settled, part, bits, flag, n in zip(*(table[c].tolist() for c in ("doc_id", "settled", "part", "mask", "flags", "n"))):
-            if settled:
-                change(part, bits, flag, n)
-                continue
-            touched = True
-            if least is not None and doc_id > least:
-                change(part, bits | DUPLICATE, flag, n)
-                continue
-            if least is not None and doc_id < least:        # take the earlier masks back
-                for (old_part, old_flag), count in held.items():
-                    change(old_part, mask, old_flag, -count)
-                    change(old_part, mask | DUPLICATE, old_flag, count)
-                held = {}
-            least, mask = doc_id, bits
-            held[part, flag] = held.get((part, flag), 0) + n
-            change(part, bits, flag, n)
-    if touched:
-        state.update((least, mask, [p for p, _ in held], [f for _, f in held], list(held.values())))
-    rows = [(*k, n) for k, n in changes.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "flags", "n"])
-
-
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings while a stream starts; a stream keeps those of its start."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def revise(arrived: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of a micro-batch and of the state with `least` (least id of the text now) and `before` (until now, from the state).
+
+    The state has a row per part and label of every id that was the least of its text once; only the last one counts."""
+    both = arrived.withColumn("old", F.lit(False)).unionByName(state.withColumn("old", F.lit(True)))
+    text = W.partitionBy("key")         # arrived rows of a text: one or two per Arrow batch
+    return both.withColumns({"least": F.min("doc_id").over(text), "before": F.min(F.when(F.col("old"), F.col("doc_id"))).over(text)})
+
+
+def counter_changes(revised: DataFrame) -> DataFrame:
+    """part, mask, flags, n: arrived rows are counted, and rows of an id that is no longer the least are taken back and counted
+    as duplicates."""
+    def entry(mask: Column, n: Column) -> Column:
+        return F.struct("part", mask.alias("mask"), "flags", n.alias("n"))
+    mask, n, later = F.col("mask"), F.col("n"), F.col("doc_id") > F.col("least")
+    taken_back = F.array(entry(mask, -n), entry(mask.bitwiseOR(DUPLICATE), n))
+    return revised.select(F.inline(
+        F.when(~F.col("old"), F.array(entry(F.when(later, mask.bitwiseOR(DUPLICATE)).otherwise(mask), n)))
+        .when(later & (F.col("doc_id") == F.col("before")), taken_back)))
 
 
 def document_stream(spark: SparkSession, path: str, batches: int = MICRO_BATCHES) -> DataFrame:
@@ -153,16 +116,20 @@ def count_masks(stream: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
     that came since are read, and the state of earlier ones is revised."""
     spark = stream.sparkSession
 
-    def keep(changes: DataFrame, batch_id: int) -> None:
-        changes.groupBy("part", "mask", "flags").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
-            f"{folder}/counters/batch={batch_id}")
-    changes = (masked(stream, labels).mapInArrow(combine, _ROW).groupBy("key").applyInPandasWithState(
-        revise, _DELTA, _STATE, "update", GroupStateTimeout.NoTimeout))
-    with _settings(spark, STATE_SETTINGS):
-        query = (changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/stream")
-                 .trigger(availableNow=True).start())
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        rows = materialise(batch)                       # counted rows without texts, read several times
+        own = rows.sparkSession
+        state = (own.read.schema(f"{_STATE}, batch bigint").parquet(f"{folder}/state").where(F.col("batch") < batch_id).drop("batch")
+                 if batch_id else own.createDataFrame([], _STATE))
+        revised = materialise(revise(rows.where(~F.col("settled")).drop("settled"), state))
+        changes = rows.where("settled").select("part", "mask", "flags", "n").unionByName(counter_changes(revised))
+        changes.groupBy("part", "mask", "flags").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/counters/batch={batch_id}")
+        revised.where(~F.col("old") & (F.col("doc_id") == F.col("least"))).drop("old", "least", "before").write.mode("overwrite").parquet(
+            f"{folder}/state/batch={batch_id}")
+    query = (masked(stream, labels).mapInArrow(combine, _ROW).writeStream.foreachBatch(keep)
+             .option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start())
     query.awaitTermination()
-    counters = spark.read.schema(_DELTA).parquet(f"{folder}/counters")
+    counters = spark.read.schema(_COUNTER).parquet(f"{folder}/counters")
     return counters.groupBy("part", "mask", "flags").agg(F.sum("n").alias("n"))
 
 
