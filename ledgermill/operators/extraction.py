@@ -73,6 +73,18 @@ def _first_values(tail: Column, item_ord: Column, guards: Column, dialect: str,
     return let(F.slice(F.split(strip(tail), " "), 1, tokens_kept), scan)
 
 
+def phrase_windows(form: Column, phrase: Column, dialect: str = "module") -> Column:
+    """The text behind each occurrence of a phrase (a column), where it has a digit. `form` is a text in document form."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(quoted, F.lit(f"(?={_CHAR_WINDOW if dialect == 'service' else _TOKEN_WINDOW})"))
+    return F.filter(F.regexp_extract_all(form, pattern, F.lit(1)), lambda w: F.rlike(w, F.lit("[0-9]")))
+
+
+def window_values(window: Column, guards: Column, dialect: str = "module") -> Column:
+    """At most two amounts of a window, cut where one of the guard phrases (an array) stands before an amount."""
+    return _first_values(window, F.lit(0), F.array(guards), dialect, V.SERVICE_TOKENS if dialect == "service" else V.MODULE_TOKENS)
+
+
 def _split_rule_values(text: Column, keywords: KeywordSet, dialect: str) -> list[tuple[int, Column]]:
     out = []
     for rule in keywords.split_rules:

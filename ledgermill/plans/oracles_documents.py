@@ -106,10 +106,18 @@ SELECT 'lap.' || CAST(doc_id AS VARCHAR) || '.txt' AS nama_file,
   CAST(CASE WHEN k IN (4, 5) THEN NULL WHEN k = 6 THEN 10 ELSE 24 END AS BIGINT) AS items,
   CAST(CASE WHEN k IN (4, 5) THEN NULL WHEN k = 6 THEN 0 ELSE 5 END AS BIGINT) AS found FROM d"""
 
-DELIMITED = """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'Error CSV: jumlah kolom tidak sama' ELSE
-  CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderstatus || chr(9) || 'nan' || chr(9) || 'a,"b"' || chr(10)
-  || CAST(o_custkey AS VARCHAR) || chr(9) || 'x' || chr(9) || 'nan' || chr(9) || 'nan' || chr(10)
-  || '1' || chr(9) || '2' || chr(9) || '3' || chr(9) || '4' END AS text FROM orders"""
+DELIMITED = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 'Error CSV: jumlah kolom tidak sama'
+  WHEN 1 THEN 'Error CSV: tanda kutip tidak ditutup' ELSE
+  CAST(o_orderkey AS VARCHAR) || chr(9) || o_orderstatus || chr(13) || chr(10) || o_orderpriority || ',' || chr(10) || chr(9) || 'nan' || chr(9)
+  || 'a,"b"' || chr(10) || CAST(o_custkey AS VARCHAR) || chr(9) || 'x' || chr(9) || 'nan' || chr(9) || 'nan' || chr(10)
+  || '1' || chr(9) || '2"x' || chr(9) || '3' || chr(9) || '4' END AS text FROM orders"""
+
+DICTIONARY = r"""WITH w AS (SELECT item_id, [x for x in string_split_regex(text, '\s+') if x <> ''] AS w FROM benchmark),
+n AS (SELECT *, unnest(range(0, greatest(len(w), 5) // 5)) AS n FROM w),
+p AS (SELECT DISTINCT item_id, lower(array_to_string(w[5 * n + 1:5 * n + 1 + n % 5], ' ')) AS phrase FROM n),
+d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS form FROM documents)
+SELECT doc_id, 'butir ' || CAST(item_id AS VARCHAR) AS item, phrase, instr(form, phrase) AS position FROM d JOIN p ON contains(form, phrase)
+WHERE phrase <> ''"""
 
 FILE_NAMES = f"""WITH n AS (SELECT page_id, url, regexp_extract(url || '.PDF', '([^/]*)$', 1) AS name FROM pages)
 SELECT page_id, CASE WHEN starts_with(name, '.') THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') END AS stem,
@@ -244,6 +252,8 @@ FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS tok FROM documents) GROU
     "report_years": REPORT_YEARS,
     "annual_extract": _annual("n_chars * 11 + 5", "n_chars * 10 + 5"),
     "annual_extract_longest": _annual("n_chars * 20 + 7", "n_chars * 19 + 7"),
+    "dictionary_extract": _annual("n_chars * 11 + 5", "n_chars * 10 + 5"),
+    "dictionary_matches": DICTIONARY,
     "two_value_extract": TWO_VALUES,
     "split_phrase_extract": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_orderkey + 1000 AS DOUBLE) END AS t,
   CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_custkey AS DOUBLE) END AS t_minus_1 FROM orders""",

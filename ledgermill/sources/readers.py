@@ -89,14 +89,25 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
     return _whole_files(spark, path).select(F.col("source").alias("path"), "text")
 
 
+_CLOSED = r'"[^"]*+(?:""[^"]*+)*+"'
+_FIELD = rf'(?:{_CLOSED}[^,\r\n]*+|[^",\r\n][^,\r\n]*+|)'
+_RECORD = f"{_FIELD}(?:,{_FIELD})*+"
+_OPEN_QUOTE = r'^"[^"]*+(?:""[^"]*+)*+$'
+
+
 def delimited_text(content: Column) -> Column:
     """Text of a header-less comma-separated file: cells joined by tabs, rows by line feeds, empty cells as 'nan'.
-    Short rows are filled up; a row longer than the first makes the file an error text."""
-    def cells(line: Column) -> Column:
-        fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+    A quote at the start of a cell opens it up to the closing quote, line breaks and commas included; elsewhere it is a
+    character. Empty lines are left out and short rows filled up; a row longer than the first, or a quote that is never
+    closed, makes the file an error text."""
+    def cells(record: Column) -> Column:
+        fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f"(?:,)({_FIELD})"), F.lit(1))
         return F.transform(fields, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(
-            F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f))
-    lines = F.filter(F.split(content, "\r?\n"), lambda line: line != "")
+            F.regexp_replace(f, r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1$2"), F.lit('""'), F.lit('"'))).otherwise(f))
+    # a record is searched where the one before ended, so breaks inside quotes never begin one; an open quote stays over
+    records = F.filter(F.regexp_extract_all(content, F.lit(f'(?!{_CLOSED})"(?s:.*)|{_RECORD}'), F.lit(0)), lambda r: r != "")
+    unclosed = F.exists(records, lambda r: F.rlike(r, F.lit(_OPEN_QUOTE)))
 
     def build(rows: Column) -> Column:
         width = F.size(F.get(rows, F.lit(0)))
@@ -106,9 +117,10 @@ def delimited_text(content: Column) -> Column:
             shown = F.transform(r, lambda f: F.when(f == "", F.lit("nan")).otherwise(f))
             return F.array_join(F.concat(shown, F.array_repeat(F.lit("nan"), width - F.size(r))), "\t")
         return (F.when(F.size(rows) == 0, F.lit("Error CSV: Berkas kosong"))
+                .when(unclosed, F.lit("Error CSV: tanda kutip tidak ditutup"))
                 .when(too_wide, F.lit("Error CSV: jumlah kolom tidak sama"))
                 .otherwise(F.array_join(F.transform(rows, print_row), "\n")))
-    return let(F.transform(lines, cells), build)
+    return let(F.transform(records, cells), build)
 
 
 def delimited_documents(spark: SparkSession, path: str) -> DataFrame:
