@@ -250,3 +250,16 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored.withColumns({V.TARGET: risk, "PeriodeTahun": F.floor((F.col("period") - 1) / 12).cast("int"),
                                "UniqueID": F.concat_ws("_", "company", "period")}).drop("altman", "zone")
     return statement_features(rows.join(sectors, "company", "left"))
+
+
+def order_risk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled features per order: the status as risk class (pending ones of 1997 without), three features, a sector of the customer."""
+    c = F.col
+    status = c("o_orderstatus")
+    risk = F.when(status == "F", "High").when(status == "O", "Low").when(F.year("o_orderdate") != 1997, "Medium")
+    lean = F.when(status == "F", 0.4).when(status == "O", 0.0).otherwise(0.2)
+    return table(spark, sf_dir, "orders").select(
+        c("o_orderkey").cast("string").alias("UniqueID"), risk.alias(V.TARGET), F.year("o_orderdate").alias("PeriodeTahun"),
+        (c("o_totalprice") / 100000.0).alias("CurrentRatio"), (F.pmod(c("o_orderkey") * 7919, F.lit(100)) / 100.0 + lean).alias("DebtToEquityRatio"),
+        F.when(F.pmod("o_custkey", F.lit(9)) != 0, F.pmod("o_custkey", F.lit(50)) / 50.0 - lean).alias("ROA"),
+        cycle(c("o_custkey"), list(V.SECTOR_FEATURES)).alias(V.SECTOR))
