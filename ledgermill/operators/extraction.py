@@ -97,7 +97,7 @@ def _split_rule_values(text: Column, keywords: KeywordSet, dialect: str) -> list
             lambda w: F.substring(w, F.lit(1), F.instr(w, F.lit(rule.suffix)) - 1))
         fitting = F.filter(between, lambda b: ~contains_any(b, rule.stops))
         values = F.transform(fitting, lambda b: F.slice(F.filter(
-            F.transform(F.regexp_extract_all(b, F.lit(r"\(?\s*([\d.,]+)\s*\)?"), F.lit(1)),
+            F.transform(F.regexp_extract_all(b, F.lit(V.SPLIT_AMOUNT), F.lit(1)),
                         lambda n: parse_amount(n, dialect)), lambda v: v.isNotNull()), 1, V.VALUES_KEPT))
         out.append((keywords.item_names.index(rule.item),
                     F.get(F.filter(values, lambda v: F.size(v) > 0), F.lit(0))))

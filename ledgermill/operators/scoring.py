@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
+from ledgermill.operators import boosting
 from ledgermill.operators.risk_model import RiskModel, predict, statement_features
 from ledgermill.operators.statements import ItemReader, above, canonical_map, period_pairs
 
@@ -241,13 +242,14 @@ def combined_error(altman_: Column, beneish_: Column, has_t1: Column, ml_error:
     return F.coalesce(*parts)
 
 
-def credit_risk(scored: DataFrame, model: RiskModel | None, sector: str = "sector") -> DataFrame:
+def credit_risk(scored: DataFrame, model: RiskModel | boosting.BoostedModel | None, sector: str = "sector") -> DataFrame:
     """Add `prediction`: STRUCT(risk_category, risk_score, probabilities, error) from the statement pair and its sector.
 
     Without a sector, and without a model, only the error is given. The record travels through the model as one column,
     so there is no join."""
     packed = scored.select("items", "items_t1", F.col(sector), F.struct(*scored.columns).alias("_record"))
-    rated = predict(statement_features(packed, sector), model, ["_record"])
+    rate = boosting.predict if isinstance(model, boosting.BoostedModel) else predict
+    rated = rate(statement_features(packed, sector), model, ["_record"])
     given = F.coalesce(F.col(f"_record.{sector}"), F.lit("")) != ""
     return rated.select("_record.*", F.struct(
         *[F.when(given, F.col(c)).alias(c) for c in ("risk_category", "risk_score", "probabilities")],
@@ -255,7 +257,7 @@ def credit_risk(scored: DataFrame, model: RiskModel | None, sector: str = "secto
 
 
 def score_companies(table: DataFrame, requests: DataFrame | None = None, step: int = 1,
-                    model: RiskModel | None = None) -> DataFrame:
+                    model: RiskModel | boosting.BoostedModel | None = None) -> DataFrame:
     """Combined record per company and period: item names cleaned, then altman, beneish, ratios, returns, with requests also
     the model's prediction, and one global error.
 

@@ -241,12 +241,40 @@ UNION ALL SELECT 'ovr_weighted', NULL, round(sum(auc * tp) / sum(tp), 9) FROM ar
 UNION ALL SELECT 'ovo_macro', NULL, round(avg(auc), 9) FROM pool
 UNION ALL SELECT 'ovo_weighted', NULL, round(sum(auc * rows) / sum(rows), 9) FROM pool"""
 
+DOCUMENT_ITEMS = f"""
+WITH d AS (SELECT *, doc_id % 4 = 1 AS replied, CASE WHEN doc_id % 4 = 1 THEN 1e0 WHEN doc_id % 9 IN (4, 5) THEN 1e0 ELSE {MULT} END AS m FROM documents),
+v AS ({_annual("n_chars * 11 + 5", "n_chars * 10 + 5")}),
+p AS (SELECT doc_id, item, max(value) FILTER (period_kind = 't') AS t, max(value) FILTER (period_kind = 't-1') AS t_minus_1 FROM v GROUP BY ALL)
+SELECT 'lap.' || CAST(d.doc_id AS VARCHAR) || '.txt' AS nama_file, CASE WHEN d.doc_id % 9 = 4 THEN 'Error TXT: rusak' END AS error_parsing,
+  CASE WHEN NOT replied AND d.doc_id % 9 = 4 THEN 'Error TXT: rusak' WHEN NOT replied AND d.doc_id % 9 = 5
+       THEN 'Tidak ada data terstruktur yang dapat dihasilkan.' END AS error,
+  m AS multiplier, CASE WHEN replied THEN '{V.EQUITY}' ELSE p.item END AS item, CASE WHEN replied THEN CAST(d.doc_id * 3 AS DOUBLE) ELSE p.t END AS t, p.t_minus_1
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id AND NOT replied AND d.doc_id % 9 NOT IN (4, 5)"""
+
+DOCUMENT_VIEWS = f"""WITH d AS (SELECT *, {UNIT_TEXT} || chr(10) || 'Pendapatan Bersih ' || format('{{:,}}', n_chars * 1000 + doc_id + 1000) || ' '
+  || format('{{:,}}', n_chars * 900 + doc_id + 1000) || chr(10) || 'Laba Kotor ' || format('{{:,}}', n_chars + 1) || chr(10) || 'Beban Usaha ('
+  || format('{{:,}}', n_chars * 7 + 1000) || ') ' || format('{{:,}}', doc_id + 2) || chr(10) || 'Jumlah Aset Lancar: ' || format('{{:,}}', n_chars * 11 + 5)
+  || ' ' || format('{{:,}}', n_chars * 10 + 5) || chr(10) || 'Total   aset ' || format('{{:,}}', n_chars * 20 + 7) || ' '
+  || format('{{:,}}', n_chars * 19 + 7) || chr(10) || text AS filed FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS nama_file, md5(filed) AS text_md5, 'Jenis Pengaju: korporat, File Type: txt; Using corporate keywords' AS info_parsing,
+  {MULT} AS multiplier, CAST(n_chars * 1000 + doc_id + 1000 AS DOUBLE) * {MULT} AS sales FROM d"""
+
+REPLY_RECORDS = """WITH k AS (SELECT conv_id * 8 + turn AS k, (conv_id * 8 + turn) % 4 AS s FROM conversations)
+SELECT 'PT ' || CAST(k AS VARCHAR) AS "applicantName", CASE s WHEN 2 THEN 'tanpa daftar' WHEN 3 THEN 'Gagal menghasilkan analisis AI.'
+    ELSE 'Ringkas ' || CAST(k AS VARCHAR) END AS "groundedSummary",
+  CASE s WHEN 2 THEN 'Netral' WHEN 3 THEN 'Error' ELSE 'Positif' END AS "overallSentiment", CASE WHEN s < 2 THEN 'utang|kurs, // harga' ELSE '' END AS issues,
+  CASE WHEN s < 2 THEN 'T' || CAST(k AS VARCHAR) || ' http://a//b' ELSE '' END AS sources,
+  CASE s WHEN 1 THEN '""" + V.UNKNOWN_OUTLOOK + """' WHEN 3 THEN 'Informasi industri tidak disediakan.' ELSE 'Tinggi' END AS "industrySectorOutlook" FROM k"""
+
 ORACLES = {
+    "document_items": DOCUMENT_ITEMS,
+    "document_views": DOCUMENT_VIEWS,
+    "reply_risk_records": REPLY_RECORDS,
     "amount_module": AMOUNTS.format(first="CAST(c AS DOUBLE) / 100", third="CAST(w * 10 + f // 10 AS DOUBLE) / 10"),
     "amount_service": AMOUNTS.format(first="CASE WHEN w < 1000 THEN CAST(c AS DOUBLE) ELSE CAST(c AS DOUBLE) / 100 END",
                                      third="CAST(w * 10 + f // 10 AS DOUBLE)"),
     "numeric_guard": """SELECT doc_id, count(*) FILTER (regexp_matches(tok, '[0-9]') AND NOT regexp_matches(tok, '[a-zA-Z]{3,}')) AS numeric_tokens
-FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS tok FROM documents) GROUP BY doc_id""",
+FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS tok FROM documents) GROUP BY doc_id""",
     "unit_multipliers": f"""SELECT doc_id, CASE lower(regexp_extract(substr({UNIT_TEXT} || text, 1, 1000), '{UNIT_RE}', 1, 'i'))
   WHEN 'ribu' THEN 1e3 WHEN 'juta' THEN 1e6 WHEN 'miliar' THEN 1e9 WHEN 'triliun' THEN 1e12 ELSE 1e0 END AS multiplier FROM documents""",
     "report_years": REPORT_YEARS,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgermill import fixed_values as V
+
 TOTALS = """
 tot AS (
   SELECT company, period, sum(cents) AS gross, sum(CASE WHEN rf = 'R' THEN cents ELSE 0 END) AS ret,
@@ -124,6 +126,33 @@ def _scale(name: str, expr: str) -> str:
     return f"SELECT '{name}' AS feature, round(avg({expr}), 6) AS mean, round(stddev_pop({expr}), 6) AS std FROM lineitem"
 
 
+COMBINED = f"""{BENEISH},
+req AS (SELECT st.*, s_suppkey % 5 <> 0 AS has_sector,
+  CASE WHEN s_suppkey % 4 = 1 THEN {OTH} WHEN s_suppkey % 2 = 0 THEN {PUB} ELSE {PRI} END AS model,
+  CASE WHEN s_suppkey % 3 = 0 AND (s_suppkey % 4 = 1 OR s_suppkey % 2 = 0) THEN s_acctbal ELSE eq END AS equity
+  FROM st LEFT JOIN supplier ON company = s_suppkey),
+{_altman_ctes('model', 'equity', 'req')},
+e AS (SELECT zz.*, ben.m_score, ben.has_old, {ALTMAN_GAP.replace('company', 'zz.company').replace('period', 'zz.period')} AS ae,
+  {BENEISH_GAP.replace('company', 'zz.company').replace('period', 'zz.period')} AS be
+  FROM zz JOIN ben ON zz.company = ben.company AND zz.period = ben.period)"""
+
+NO_SECTOR = "Prediksi Risiko Kredit ML gagal: Sektor tidak disediakan, prediksi ML tidak dapat dilakukan."
+WITH_MODEL = f"""WITH {TOTALS}, {COMBINED}
+SELECT company, period, CASE WHEN be IS NULL THEN m_score END AS m_score,
+  CASE WHEN ae IS NOT NULL THEN 'Analisis Altman Z-Score gagal: ' || ae WHEN has_old AND be IS NOT NULL THEN 'Analisis Beneish M-Score gagal: ' || be
+       WHEN NOT has_sector THEN '{NO_SECTOR}' END AS error,
+  CASE WHEN NOT has_sector THEN split_part('{NO_SECTOR}', ': ', 2) END AS model_error, has_sector AS rated, has_sector AS shares FROM e"""
+
+_SECTORS = list(V.SECTOR_FEATURES)
+FEATURES = f"""WITH {TOTALS}, s AS (SELECT *, ebt + intr AS ebit FROM st)
+SELECT CAST(now.company AS VARCHAR) || '_' || CAST(now.period AS VARCHAR) AS "UniqueID", CASE WHEN now.cl <> 0 THEN now.ca / now.cl END AS "CurrentRatio",
+  CASE WHEN now.eq <> 0 THEN now.tl / now.eq END AS "DebtToEquityRatio", CASE WHEN now.sales <> 0 THEN now.ni / now.sales END AS "NetProfitMargin",
+  CASE WHEN now.ta <> 0 THEN now.sales / now.ta END AS "AssetTurnover", CASE WHEN now.intr <> 0 THEN ebit / now.intr END AS "InterestCoverageRatio",
+  CASE WHEN old.sales <> 0 THEN now.sales / old.sales END - 1 AS "SalesGrowth", CAST(NULL AS DOUBLE) AS absent,
+  coalesce({_SECTORS!r}[CAST(n_regionkey % {len(_SECTORS)} AS INT) + 1], 'Unknown') AS "{V.SECTOR}"
+FROM s now LEFT JOIN st old ON old.company = now.company AND old.period = now.period - 1
+LEFT JOIN supplier ON s_suppkey = now.company LEFT JOIN nation ON n_nationkey = s_nationkey"""
+
 ORACLES = {
     "altman_public": _altman(PUB),
     "altman_private": _altman(PRI),
@@ -159,15 +188,7 @@ SELECT company, period, {ALTMAN_GAP} AS altman_error, {BENEISH_GAP} AS beneish_e
   WHEN 4 THEN 0.5e0 END AS re, CASE company % 6 WHEN 0 THEN '12d' WHEN 3 THEN '' WHEN 5 THEN '1,000' END AS bad FROM st)
 SELECT company, period, 1.2e0 * 0e0 + 1.4e0 * (re / 7) + 3.3e0 * 2e0 + 0.6e0 * 1e0 + 0.999e0 * 1e0 AS z_score,
   'ValueError, data Z-Score tidak dapat dikonversi ke float: could not convert string to float: ''' || bad || '''' AS error FROM v""",
-    "combined_scores": f"""WITH {TOTALS}, {BENEISH},
-req AS (SELECT st.*, s_suppkey % 5 <> 0 AS has_sector,
-  CASE WHEN s_suppkey % 4 = 1 THEN {OTH} WHEN s_suppkey % 2 = 0 THEN {PUB} ELSE {PRI} END AS model,
-  CASE WHEN s_suppkey % 3 = 0 AND (s_suppkey % 4 = 1 OR s_suppkey % 2 = 0) THEN s_acctbal ELSE eq END AS equity
-  FROM st LEFT JOIN supplier ON company = s_suppkey),
-{_altman_ctes('model', 'equity', 'req')},
-e AS (SELECT zz.*, ben.m_score, ben.has_old, {ALTMAN_GAP.replace('company', 'zz.company').replace('period', 'zz.period')} AS ae,
-  {BENEISH_GAP.replace('company', 'zz.company').replace('period', 'zz.period')} AS be
-  FROM zz JOIN ben ON zz.company = ben.company AND zz.period = ben.period)
+    "combined_scores": f"""WITH {TOTALS}, {COMBINED}
 SELECT company, period, CASE WHEN ae IS NULL THEN z_score END AS z_score, CASE WHEN ae IS NULL THEN zone ELSE 'Error' END AS zone,
   model_used, CASE WHEN be IS NULL THEN m_score END AS m_score,
   CASE WHEN period % 7 <> 0 AND company % 5 <> 0 AND company % 9 <> 0 THEN CASE WHEN sales = 0 THEN 0e0 ELSE ni / sales END END AS net_margin,
@@ -176,6 +197,8 @@ SELECT company, period, CASE WHEN ae IS NULL THEN z_score END AS z_score, CASE W
        WHEN NOT has_sector THEN 'Prediksi Risiko Kredit ML gagal: Sektor tidak disediakan, prediksi ML tidak dapat dilakukan.'
        ELSE 'Prediksi Risiko Kredit ML gagal: Model ML, Preprocessor, atau LabelEncoder tidak dimuat. Prediksi tidak dapat dilakukan.' END AS error
 FROM e""",
+    "combined_with_model": WITH_MODEL,
+    "feature_rows": FEATURES,
     "alias_canonical": f"WITH {ALIAS_ROWS} SELECT company, period, item, value FROM kept",
     "statement_maps": f"""WITH {ALIAS_ROWS} SELECT company, period, count(*) AS item_count,
   max(CASE WHEN item = 'Jumlah aset' THEN value END) AS assets FROM kept GROUP BY company, period""",

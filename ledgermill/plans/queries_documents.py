@@ -26,9 +26,8 @@ def amount_service(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def numeric_guard(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = F.filter(F.split("text", " "), maybe_numeric)
-    return D.table(spark, sf, "documents").where(F.col("text").isNotNull()).select(
-        "doc_id", F.size(tokens).cast("bigint").alias("numeric_tokens"))
+    tokens = F.filter(F.split(F.coalesce("text", F.lit("")), " "), maybe_numeric)
+    return D.table(spark, sf, "documents").select("doc_id", F.size(tokens).cast("bigint").alias("numeric_tokens"))
 
 
 def unit_multipliers(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +123,50 @@ def document_envelope(spark: SparkSession, sf: str) -> DataFrame:
         F.when(items.isNotNull(), found.cast("bigint")).alias("found"))
 
 
+def document_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with their values: from a structured reply where there is one, else from the text; failed documents have an error."""
+    d = F.col("doc_id")
+    pair = F.struct((d * 3).cast("double").alias("t"), F.lit(None).cast("double").alias("t_minus_1"))
+    docs = D.filed_documents(spark, sf).select(
+        F.concat(F.lit("/in/lap."), d.cast("string"), F.lit(".txt")).alias("path"),
+        F.when(F.pmod(d, F.lit(9)) == 4, "Error TXT: rusak").when(F.pmod(d, F.lit(9)) == 5, " \n ").otherwise(F.col("text")).alias("text"),
+        F.lit("korporat").alias("applicant_type"), F.lit("txt").alias("file_type"),
+        F.when(F.pmod(d, F.lit(4)) == 1, F.create_map(F.lit(V.EQUITY), pair)).alias("structured"))
+    parsed = X.parse_documents(docs, output_format="structured_json").select(
+        "nama_file", "error_parsing", "error", F.col("pengali_global_terdeteksi").alias("multiplier"),
+        F.explode_outer(F.map_filter("hasil_ekstraksi_terstruktur", lambda k, v: v["t"].isNotNull())).alias("item", "pair"))
+    return parsed.select("nama_file", "error_parsing", "error", "multiplier", "item", "pair.t", "pair.t_minus_1")
+
+
+def document_views(spark: SparkSession, sf: str) -> DataFrame:
+    """The text view and the items view of parsed documents side by side."""
+    docs = D.filed_documents(spark, sf).select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), "text", F.lit("korporat").alias("applicant_type"), F.lit("txt").alias("file_type"))
+    parsed = X.parse_documents(docs)
+    texts = X.text_view(parsed).select("nama_file", F.md5(F.col("teks_ekstrak_mentah").cast("binary")).alias("text_md5"), "info_parsing")
+    items = X.items_view(parsed).select("nama_file", F.col("pengali_global_terdeteksi").alias("multiplier"),
+                                        F.try_element_at("hasil_ekstraksi_kata_kunci", F.lit(V.SALES))["t"].alias("sales"))
+    return texts.join(items, "nama_file")
+
+
+def reply_risk_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Risk records from news replies in four shapes: fenced, bare, without lists, unreadable; and the two views of them."""
+    k = F.col("conv_id") * 8 + F.col("turn")
+    source = F.struct(F.concat(F.lit("T"), k.cast("string")).alias("title"), F.lit("http://a//b").alias("url"))
+    full = F.to_json(F.struct(F.concat(F.lit("Ringkas "), k.cast("string")).alias("summary"), F.lit("Positif").alias("sentiment"),
+                              F.array(F.lit("utang"), F.lit("kurs, // harga")).alias("key_issues"), F.array(source).alias("sources")))
+    bare = F.to_json(F.struct(F.lit("tanpa daftar").alias("summary"), F.lit("Netral").alias("sentiment")))
+    shapes = F.array(F.concat(F.lit("Berikut:\n```json\n"), full, F.lit("\n```")), full, bare, F.lit("maaf, tidak ada"))
+    outlook = D.table(spark, sf, "region").select(F.col("r_name").alias("industry_main"), F.lit("Umum").alias("industry_sub"), F.lit("Tinggi").alias("outlook"))
+    answers = D.table(spark, sf, "conversations").select(
+        F.concat(F.lit("PT "), k.cast("string")).alias("applicant"), D.cycle(k, ["ASIA", "LAIN", "ASIA", ""]).alias("industry_main"),
+        F.lit("Umum").alias("industry_sub"), F.get(shapes, F.pmod(k, F.lit(4)).cast("int")).alias("reply"))
+    records = N.risk_records_from_replies(answers, outlook, F.lit("2024-01-31 06:00:00").cast("timestamp"))
+    news = N.news_view(records).select("applicantName", "groundedSummary", "overallSentiment", F.array_join("keyIssues", "|").alias("issues"),
+                                       F.array_join(F.transform("supportingSources", lambda s: F.concat_ws(" ", s["title"], s["url"])), "|").alias("sources"))
+    return news.join(N.outlook_view(records).select("applicantName", "industrySectorOutlook"), "applicantName")
+
+
 def period_files(spark: SparkSession, sf: str) -> DataFrame:
     """Shape of the two written result sets."""
     docs = X.annual_extract(D.filed_documents(spark, sf)).withColumn("nama_file", F.col("doc_id").cast("string"))
@@ -260,6 +303,6 @@ def purged_results(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     amount_module, amount_service, numeric_guard, unit_multipliers, report_years, annual_extract, annual_extract_longest,
     dictionary_extract, dictionary_matches, two_value_extract, split_phrase_extract, spatial_amounts, block_lines, word_lines, parent_documents,
-    document_envelope, period_files, delimited_rows, file_names, word_tokens, display_times, reply_items, sentiments,
+    document_envelope, document_items, document_views, reply_risk_records, period_files, delimited_rows, file_names, word_tokens, display_times, reply_items, sentiments,
     issues, summaries, citations, risk_records, eval_metrics, eval_overall, eval_coverage, detection_auc, roc_curve,
     roc_area, multiclass_areas, new_files, purged_results)}

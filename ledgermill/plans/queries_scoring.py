@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill import fixed_values as V
-from ledgermill.operators import risk_model as rm
+from ledgermill.operators import boosting, risk_model as rm
 from ledgermill.operators.evaluation import class_report, distribution
 from ledgermill.operators.incremental import hash_split
 from ledgermill.operators.outlook import sector_outlook
@@ -100,7 +100,7 @@ def coercion_errors(spark: SparkSession, sf: str) -> DataFrame:
     return altman(texts).select("company", "period", c("altman.z_score").alias("z_score"), c("altman.error").alias("error"))
 
 
-def combined_scores(spark: SparkSession, sf: str) -> DataFrame:
+def _combined(spark: SparkSession, sf: str, model=None) -> DataFrame:
     s = F.col("s_suppkey")
     requests = D.table(spark, sf, "supplier").select(
         s.alias("company"), (F.pmod(s, F.lit(2)) == 0).alias("is_public"),
@@ -109,12 +109,35 @@ def combined_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.pmod(s, F.lit(5)) != 0, F.lit("Agro")).alias("sector"))
     older = F.when(F.pmod("company", F.lit(2)) == 0, F.lit("Total Aset")).otherwise(F.lit("JUMLAH ASET"))
     aliased = _gappy(spark, sf).withColumn("items", F.transform_keys("items", lambda k, v: F.when(k == V.ASSETS, older).otherwise(k)))
-    out = score_companies(aliased, requests)            # no model is loaded, which is the last of the errors
+    return score_companies(aliased, requests, model=model)
+
+
+def combined_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = _combined(spark, sf)                          # no model is loaded, which is the last of the errors
     return out.select("company", "period", F.col("altman.z_score").alias("z_score"), F.col("altman.zone").alias("zone"),
                       F.col("altman.model_used").alias("model_used"), F.col("beneish.m_score").alias("m_score"),
                       F.col("ratios.net_margin").alias("net_margin"), "error")
 
 
+def combined_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The combined record with trees fitted to the Altman zones: what holds for any model is compared, its class is not."""
+    model = boosting.train(D.labelled_features(spark, sf), rounds=2, depth=3, rate=0.3)
+    out, p = _combined(spark, sf, model), F.col("prediction")
+    points = F.create_map(*[F.lit(x) for pair in V.RISK_POINTS.items() for x in pair])
+    shares = F.map_values(p["probabilities"])
+    return out.select("company", "period", F.col("beneish.m_score").alias("m_score"), "error", p["error"].alias("model_error"),
+                      F.coalesce(p["risk_score"] == F.try_element_at(points, p["risk_category"]), F.lit(False)).alias("rated"),
+                      F.coalesce((F.size(shares) == 3) & (F.abs(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9)
+                                 & (F.array_max(shares) == F.try_element_at(p["probabilities"], p["risk_category"])), F.lit(False)).alias("shares"))
+
+
+def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Model features of all statements as declared: known numeric ones, absent ones as null, the sector or 'Unknown'."""
+    return rm.select_features(D.labelled_features(spark, sf).drop("RiskCategory", "PeriodeTahun"), ["UniqueID"]).select(
+        "UniqueID", "CurrentRatio", "DebtToEquityRatio", "NetProfitMargin", "AssetTurnover", "InterestCoverageRatio", "SalesGrowth",
+        F.col(V.NUMERIC_FEATURES[-1]).alias("absent"), V.SECTOR)
+
+
 ALIAS_NAMES = ["Total Aset", "JUMLAH ASET", "Laba Bersih", "LABA TAHUN BERJALAN", "Pos lain", "Penjualan Bersih"]
 
 
@@ -213,5 +236,5 @@ def model_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     altman_public, altman_private, altman_other, altman_mve, zone_counts, beneish_scores, ratio_table, growth_table,
-    missing_items, coercion_errors, combined_scores, alias_canonical, statement_maps, alias_map, outlook_lookup,
+    missing_items, coercion_errors, combined_scores, combined_with_model, feature_rows, alias_canonical, statement_maps, alias_map, outlook_lookup,
     order_distribution, event_class_report, scale_features, train_predict, staged_update, sector_samples, model_choice)}
