@@ -95,8 +95,14 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), np.float64)
 
 
+def _levelled(rows: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two so that their largest component is between 1/2 and 1. That is exact, leaves cosines as they
+    are, and squares neither overflow nor vanish."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    rows = _levelled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -128,7 +134,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PRO
            sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row of `queries` among all rows of `vectors`, itself excluded.
 
-    Scores are cosines in double precision of the original vectors; ties go to the smaller vec_id. Unusable vectors take no
+    Scores are cosines in double precision of the original vectors, of any finite magnitude; ties go to the smaller vec_id. Unusable vectors take no
     part, nor do those of another length than most of the sample. Repeated rows count once. An empty table gives an
     empty result. A list of any size is cut into blocks, and so are its queries; each pair of blocks is a task of
     bounded memory that keeps k rows per query. A query whose lists hold fewer than k others reads on in all lists.
@@ -172,7 +178,7 @@ def top_k(posted: pd.DataFrame, probing: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(posted) and len(probing):
         posted = posted.drop_duplicates("vec_id")
         probing = probing.drop_duplicates("vec_id")
-        p, q, ids = _matrix(posted["embedding"]), _matrix(probing["embedding"]), posted["vec_id"].to_numpy()
+        p, q, ids = _levelled(_matrix(posted["embedding"])), _levelled(_matrix(probing["embedding"])), posted["vec_id"].to_numpy()
         pn, qn = np.sqrt((p * p).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         step = max(1, 4_000_000 // len(p))
         for lo in range(0, len(q), step):
