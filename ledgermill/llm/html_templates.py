@@ -2,7 +2,7 @@
 
 Every page is parsed once into text blocks and element subtrees. Subtrees are hashed and counted per host in Spark; one that
 recurs on many pages of its host is template and goes. Elements whose tag or class says that they are menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments go at once; inside an article or main element a class says so
+footers, sidebars, notices, adverts, forms or reader comments go at once, a class only by its whole name; inside an article or main element a class says so
 only of adverts, menus, comments, share and related links and newsletters.
 """
 
@@ -29,14 +29,20 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME = {"nav", "footer", "aside", "form", "head", "button", "select", "option", "dialog", "menu", "object", "canvas", "audio", "video"}
+CHROME = {"nav", "footer", "aside", "form", "head", "option", "dialog", "menu"}
+#: Controls and media inside a line: they go with what they hold, and the text around them stays one block.
+INLINE_CHROME = {"button", "select", "object", "canvas", "audio", "video"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar"}
-#: Outside article and main: one such word in a class or id, the last four only as the whole name.
+_PLACE = "(?:article|bottom|entry|footer|global|header|left|main|page|post|primary|right|secondary|site|social|top)"
+_FORM = (r"(?:area|articles?|bars?|block|box|buttons?|container|form|icons?|inner|items?|links?|list|menu|message|outer|panel|posts?|section|signup|slot|"
+         r"stories|unit|widget|wrapper|\d+)")
+#: Outside article and main: a class or id that is such a word, with words of place before and of form after it. A longer name
+#: that only holds one (has-sidebar, no-comments, notice-text) says nothing of its element.
 CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|"
+    rf"(?:^|\s)(?:{_PLACE}[_-])*(?:ads?|adverts?|advertisements?|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|menus|breadcrumbs?|"
     r"sidebar|footer|masthead|topbar|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|search|pagination|pager|skip|widget)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:header|head|foot|side)(?:$|\s)", re.I)
+    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|respond|search|pagination|pager|skip|widget)"
+    rf"(?:[_-](?:notice|consent|banner|{_FORM}))*(?:$|\s)|(?:^|\s)(?:site[_-])?(?:header|head|foot|side)(?:$|\s)", re.I)
 #: Inside them: names that are such a word, with words of place before and of form after it.
 CLEAR_NAME = re.compile(
     r"(?:^|\s)(?:(?:article|entry|page|post|site|social)[_-])*(?:ads?|adverts?|advertisements?|advertising|nav|navbar|navigation|comments?|commentlist|disqus|"
@@ -77,7 +83,7 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int
     """
     html = html or ""
     blocks: list[list] = []             # text, inside article, open judged elements
-    stack: list[list] = []              # tag, chrome above or here, judged index or None, content hash parts
+    stack: list[list] = []              # tag, chrome above or here, judged index or None, content hash parts, in an article
     judged: list = []                   # hash of each judged subtree, in order of its start
     text: list[str] = []
 
@@ -85,17 +91,18 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int
         value = " ".join(character_references.unescape("".join(text)).split())
         text.clear()
         if value and not (stack and stack[-1][1]):
-            blocks.append([value, any(s[0] in ("article", "main") for s in stack), [s[2] for s in stack if s[2] is not None]])
+            blocks.append([value, bool(stack) and stack[-1][4], [s[2] for s in stack if s[2] is not None]])
 
     def close(to: int) -> None:
         while len(stack) > to:
             if stack[-1][0] in BLOCKS:
                 flush()
-            tag, _, index, parts = stack.pop()
+            tag, _, index, parts, _ = stack.pop()
+            content = _hash(parts)
             if index is not None:
-                judged[index] = _hash(parts)
+                judged[index] = content
             if stack:
-                stack[-1][3].extend((f"<{tag}>", *parts, "</>"))
+                stack[-1][3].append(f"<{tag}>{content}")
 
     at, size = 0, len(html)
     while at < size:
@@ -123,6 +130,11 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size
             continue
+        if tag in INLINE_CHROME:
+            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            at = end.end() if end else at           # without an end only the tag goes
+            text.append(" ")
+            continue
         if tag == "br" or tag in VOID:
             if tag == "br":
                 text.append(" ")
@@ -137,14 +149,14 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], list[int
                 if stack[i][0] in BLOCKS:
                     break
             flush()
-        inside = any(s[0] in ("article", "main") for s in stack)
+        inside = bool(stack) and stack[-1][4]
         chrome = bool(stack and stack[-1][1]) or _is_chrome(tag, found[3], inside)
         index = None
         if tag in CONTAINERS or chrome and tag in BLOCKS or (tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") and not inside):
             index = len(judged)
             judged.append(0)
         if not found[0].endswith("/>") or tag in BLOCKS:
-            stack.append([tag, chrome, index, []])
+            stack.append([tag, chrome, index, [], inside or tag in ("article", "main")])
     flush()
     close(0)
     flush()
