@@ -14,10 +14,21 @@ from ledgermill.session import shared_folder
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own`, and all others by number inside the struct `row`, where no name can clash with one that a stage adds."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own]
+    return docs.select(*own, F.struct(*(others or [F.lit(True).alias("none")])).alias("row"))
+
+
+def _unpacked(table: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    return table.select(*[F.col(c) if c in own else F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: those found undetermined (null, empty, without letters) go."""
     names, table = language_id.rank_table(language_id.learn_profiles(docs.select("lang", "text")))
-    return language_id.identify(docs, names, table).where(F.col("_lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.identify(_packed(docs, "text"), names, table)
+    return _unpacked(found.where(F.col("_lang_pred") != language_id.UNDETERMINED), docs.columns, "text")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +43,16 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced and n_chars brought up to date where it counted the text."""
-    return secret_scan.redact(docs.withColumn("_counted", F.col("n_chars") == F.char_length("text"))).withColumn(
-        "n_chars", F.when(F.col("_counted"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows = _packed(docs, "text", "n_chars").withColumn("_counted", F.col("n_chars") == F.char_length("text"))
+    clean = secret_scan.redact(rows).withColumn(
+        "n_chars", F.when(F.col("_counted"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return _unpacked(clean, docs.columns, "text", "n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times as its source's rate says."""
-    return mixing.emit(mixing.mix(docs))
+    own = ("doc_id", "text", "source")
+    return _unpacked(mixing.emit(mixing.mix(_packed(docs, *own))), docs.columns, *own)
 
 
 STAGES = [("language_id", known_language), ("ngram_jaccard_join", distinct_texts), ("benchmark_decontamination", decontaminated),
