@@ -84,7 +84,7 @@ SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER (NOT fails
        coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
        coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
        coalesce(sum(t) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
-       sum(sum(n) FILTER (fails AND NOT gone)) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+       coalesce(sum(sum(n) FILTER (fails AND NOT gone)) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
 FROM applied GROUP BY part, filter_order, step, bit"""
 
 
