@@ -61,24 +61,31 @@ def key_kinds(index: DataFrame) -> list[str]:
 
 def text_keys(form: Column, kinds: list[str]) -> Column:
     """The distinct keys of these kinds that a text in document form holds."""
-    def keys(words: Column) -> Column:
+    def first(pair: Column) -> Column:
+        return F.substring_index(pair, " ", 1)
+
+    def second(pair: Column) -> Column:
+        return F.substring_index(pair, " ", -1)
+
+    def keys(words: Column, pairs: Column) -> Column:
         parts = []
         for kind in kinds:
             if kind == "w1":
                 parts.append(F.transform(words, lambda w: _key("w1", w)))
             elif kind == "w2":
-                parts.append(F.transform(_pairs(words), lambda p: _key("w2", F.concat(p["a"], F.lit(" "), p["b"]))))
+                parts.append(F.transform(pairs, lambda p: _key("w2", p)))
             elif kind[0] == "b":
                 j, l = int(kind[1]), int(kind[2])
-                parts.append(F.transform(F.filter(_pairs(words), lambda p: (F.char_length(p["a"]) >= j) & (F.char_length(p["b"]) >= l)),
-                                         lambda p: _key(kind, F.concat(F.right(p["a"], F.lit(j)), F.lit(" "), F.left(p["b"], F.lit(l))))))
+                parts.append(F.transform(F.filter(pairs, lambda p: (F.char_length(first(p)) >= j) & (F.char_length(second(p)) >= l)),
+                                         lambda p: _key(kind, F.concat(F.right(first(p), F.lit(j)), F.lit(" "), F.left(second(p), F.lit(l))))))
             else:
                 q = int(kind[1])
-                long_enough = F.filter(F.array_distinct(words), lambda w: F.char_length(w) >= q)
-                parts.append(F.flatten(F.transform(long_enough, lambda w: F.transform(
+                parts.append(F.flatten(F.transform(F.filter(words, lambda w: F.char_length(w) >= q), lambda w: F.transform(
                     F.sequence(F.lit(1), F.char_length(w) - q + 1), lambda i: _key(kind, F.substr(w, i, F.lit(q)))))))
         return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-    return let(F.split(form, " "), keys)
+    # words and neighbouring words once each, before keys of any kind are made of them
+    return let(F.split(form, " "), lambda words: let(F.array_distinct(words), lambda single: let(
+        F.array_distinct(F.transform(_pairs(words), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))), lambda pairs: keys(single, pairs))))
 
 
 def phrases_in(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,7 +98,8 @@ def phrases_in(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id",
     """
     index = phrase_index(dictionary)
     forms = documents.withColumn("_form", F.coalesce(document_form(F.col(text)), F.lit(""))).drop(text)
-    keys = forms.select(F.col(key).alias("_doc"), F.explode(text_keys(F.col("_form"), key_kinds(index))).alias("key"))
+    # outer: a plain explode makes the optimizer evaluate the keys once more in a filter below it
+    keys = forms.select(F.col(key).alias("_doc"), F.explode_outer(text_keys(F.col("_form"), key_kinds(index))).alias("key")).where("key IS NOT NULL")
     found = keys.join(index, "key").select("_doc", F.struct("item_ord", "item", "var_ord", "phrase").alias("p"))
     candidates = found.groupBy("_doc").agg(F.array_sort(F.collect_set("p")).alias("_possible"))
     joined = forms.join(candidates, forms[key].eqNullSafe(candidates["_doc"]), "left").drop("_doc")
