@@ -3,11 +3,15 @@
 1. Shingle sets are hashed and sorted in vectorised passes over the bytes of a batch. Equal sets are one class; only the
    first document of a class goes on.
 2. Each class is put on tiles, one for every shingle of its prefix: the first floor(n / 5) + 1 shingles in an order in which
-   frequent ones come last. Two sets of Jaccard similarity 0.8 share a shingle of both prefixes, whatever the order, so no
-   link is lost; the order only keeps common passages from making large tiles.
-3. On a tile only sizes within the band 0.8 to 1.25 can link, and the bit counts of hashed bitmap signatures bound the
-   overlap from above: every bit in which two signatures differ stands for at least one shingle that only one set has. Bits
-   are parities, so what both sets have leaves no trace in the difference and few bits give a close bound.
+   frequent ones come last, the most frequent at the very end. The first shingle that two sets share in that order can stand
+   at place p (from 0) of a set of n only if 4 (n + m) <= 9 (n - p), where m is the size of the other; so every row of a tile
+   knows the largest partner it can have there. Of two sets the smaller meets the larger only by its first floor(n / 9) + 1
+   shingles: a passage that makes up less than 8 / 9 of the documents that share it does not bring them together.
+3. On a tile only sizes within the band 0.8 to 1.25 can link: rows are joined by shingle and band, the smaller set in its own
+   band, the larger in its own and the one below. Rows of a (shingle, band) beyond BLOCK are dealt out to several tasks. The
+   bit counts of hashed bitmap signatures bound the overlap from above: every bit in which two signatures differ stands for at
+   least one shingle that only one set has. Bits are parities, so what both sets have leaves no trace in the difference and
+   few bits give a close bound.
 4. What remains is intersected exactly on sorted arrays.
 
 First every class is compared with the least class of its tiles, and the links found are contracted to groups; then
@@ -35,6 +39,11 @@ PIECE_BYTES = 1 << 21
 #: Shingles in at least so many documents of one batch and in total count as frequent; at most so many are remembered, the
 #: most frequent ones. This orders prefixes and changes no result.
 FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 4, 24, 1_000_000
+#: Rows of a (shingle, band) that one task compares with the others there; pairs of a first document that one task verifies;
+#: copies from which a class is joined apart from the others. These deal out the work and change no result.
+BLOCK, PARTNERS, HOT_CLASS = 512, 256, 1000
+#: Ratio of two bands: a little above 1.25, so that sizes which can link are in one band or in neighbouring ones.
+BAND = 1.26
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
@@ -153,14 +162,17 @@ def describe(texts: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """id, n, bits, keys: size, bitmap signature and prefix shingles of every document that has words."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)        # at most MOST_FREQUENT numbers
+    """id, n, bits, keys: size, bitmap signature and prefix shingles, in order, of every document that has words. `frequent` has
+    the frequent shingles, the most frequent first."""
+    order = np.argsort(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast((frequent[order], order))        # at most MOST_FREQUENT numbers each
 
     def prefix(s: np.ndarray) -> np.ndarray:
-        known = shared.value
+        known, place = shared.value
         if len(known):
-            common = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-            s = np.concatenate([s[~common], s[common]])
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            common = known[at] == s
+            s = np.concatenate([s[~common], s[common][np.argsort(-place[at[common]])]])
         return s[:len(s) * (100 - PERCENT) // 100 + 1].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,11 +216,46 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep.append(same > 0 and 100 * same >= PERCENT * (len(x) + len(y) - same))
                 chosen = part.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(chosen.columns[:2], names=["a", "b"])
-    pairs = broadcast_if_small(pairs)
-    heads = broadcast_if_small(pairs.select(F.col("a").alias("id")).distinct())
-    right = texts.join(pairs.withColumnRenamed("b", "id"), "id").select("a", F.col("id").alias("b"), F.col("text").alias("y"))
-    left = texts.join(heads, "id", "left_semi").select(F.col("id").alias("a"), F.col("text").alias("x"))
-    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+    # a document with many partners is verified in several tasks
+    heads = broadcast_if_small(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")))
+    dealt = broadcast_if_small(pairs.join(heads, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")))
+    right = texts.join(dealt, "id").select("a", "part", F.col("id").alias("b"), F.col("text").alias("y"))
+    left = texts.join(heads.withColumnRenamed("a", "id"), "id").select(
+        F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("x"))
+    return right.join(left, ["a", "part"]).select("a", "b", "x", "y").mapInArrow(intersect, "a long, b long")
+
+
+def largest_partner(n: Column, place: Column) -> Column:
+    """Size up to which another set can link with a set of n, if the first shingle they share is at this place (from 0)."""
+    return F.floor(((100 + PERCENT) * (n - place) - PERCENT * n) / PERCENT)
+
+
+def _with_class(sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """`sizes` left-joined with its classes; classes of many copies by themselves, as one key would be one task."""
+    keys = ["n", "a", "b"]
+    hot = broadcast_if_small(classes.where(F.col("m") > HOT_CLASS).drop("m").withColumn("hot", F.lit(True)))
+    marked = sizes.join(hot, keys, "left")
+    value = [c for c in classes.columns if c not in (*keys, "m")]
+    cold = marked.where("hot IS NULL").drop("hot", *value).join(classes.where(F.col("m") <= HOT_CLASS).drop("m"), keys, "left")
+    return cold.unionByName(marked.where("hot").drop("hot"))
+
+
+def _meetings(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """a, b: pairs of different components on a tile that sizes, places and signatures allow. `rows` has key, id, n, most, component."""
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
+    full = broadcast_if_small(rows.where("most >= n").groupBy("key", band.alias("band")).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    rows = rows.join(signed.select("id", "bits"), "id")
+    smaller = rows.where("most >= n").withColumn("band", band)
+    larger = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    smaller = smaller.join(full, ["key", "band"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "blocks"), F.lit(0)).cast("int"))
+    larger = larger.join(full, ["key", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+    at = ["key", "band", "block"]
+    one, two = (t.select(*at, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "most", "component", "bits")]) for t, s in ((smaller, "x"), (larger, "y")))
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    met = one.join(two, at).where(ordered & (F.col("id_x") != F.col("id_y")) & (F.col("n_y") <= F.col("most_x")) & (F.col("n_x") <= F.col("most_y"))
+                                  & (F.col("component_x") != F.col("component_y")) & may_link(F.col("n_x"), F.col("bits_x"), F.col("n_y"), F.col("bits_y")))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,48 +269,47 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     described = materialise(describe(texts))
     heavy = (described.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
              .orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).select("a").toPandas()["a"].to_numpy(np.int64))
-    frequent = np.sort(heavy.view(_U))
     sizes = described.where("kind = 0").select("id", "n", "a", "b")
-    classes = sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    copies = broadcast_if_small(sizes.join(classes, ["n", "a", "b"]).where(F.col("id") != F.col("rep")).select("id"))
-    reps = materialise(prefixes(texts, frequent).join(copies, "id", "left_anti"))
-    # dealt out by tile once: counted, and joined with the counts; only tiles with several classes keep their rows
-    tiles = reps.select("id", "n", F.explode("keys").alias("key")).repartition("key")
-    several = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"),
-                                       F.max("id").alias("last"))
-    met_on = materialise(tiles.join(several.where("head < last").hint("shuffle_hash"), "key"))
+    classes = materialise(sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    copies = broadcast_if_small(_with_class(sizes, classes).where(F.col("id") != F.col("rep")).select("id"))
+    reps = materialise(prefixes(texts, heavy.view(_U)).join(copies, "id", "left_anti"))
+    # dealt out by tile once: counted, and joined with the counts; only rows that can have a partner on their tile stay
+    tiles = (reps.select("id", "n", F.posexplode("keys").alias("place", "key"))
+             .select("id", "n", "key", largest_partner(F.col("n"), F.col("place")).alias("most")).repartition("key"))
+    smaller = F.col("most") >= F.col("n")
+    several = tiles.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.min("id").alias("least"), F.max("id").alias("last"), F.min(F.when(smaller, F.col("n"))).alias("least_n"),
+        F.min(F.when(smaller, F.col("id"))).alias("head"), F.min_by("n", F.when(smaller, F.col("id"))).alias("head_n"),
+        F.min_by("most", F.when(smaller, F.col("id"))).alias("head_most"))
+    met_on = materialise(tiles.join(several.where("least < last AND head IS NOT NULL").drop("least", "last").hint("shuffle_hash"), "key")
+                         .where("least_n <= most").drop("least_n"))
     signed = reps.select("id", "n", "bits")
 
-    # pairs whose sizes are not in one band go before any signature is moved
-    in_band = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * PERCENT
-
     def with_signatures(pairs: DataFrame) -> DataFrame:
         left = signed.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
         right = signed.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
         return (pairs.join(left, "a").join(right, "b").where(may_link(F.col("n1"), F.col("bits1"), F.col("n2"), F.col("bits2")))
                 .select("a", "b"))
-    stars = met_on.where((F.col("id") > F.col("head")) & in_band).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    # pairs that sizes and places do not allow go before any signature is moved
+    stars = met_on.where("id <> head AND n <= head_most AND head_n <= most").select(F.col("head").alias("a"), F.col("id").alias("b"))
     first = materialise(with_signatures(stars.distinct()).distinct())
     links = materialise(_verified(first, texts))
     labels = materialise(components(links))
     # tiles on which classes of different groups meet
-    member = met_on.where("m > 2").select("key", "id").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
+    member = met_on.where("m > 2").select("key", "id", "n", "most").join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     open_tiles = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_rows = materialise(member.join(open_tiles, "key", "left_semi"))
     if open_rows.limit(1).count():
-        signed_rows = open_rows.join(signed, "id")
-        left, right = (signed_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n", "bits")]) for s in "ab")
-        met = left.join(right, (left["key"] == right["key"]) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-                        & may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b")))
-        second = materialise(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+        known_pairs = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = materialise(_meetings(open_rows, signed).join(known_pairs, ["a", "b"], "left_anti"))
         if second.limit(1).count():
             more = materialise(_verified(second, texts))
             labels = materialise(components(links.unionByName(more)))
     group = labels.select(F.col("node").alias("rep"), "component")
-    named = classes.join(group, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
-    known = sizes.join(named, ["n", "a", "b"], "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    named = classes.join(group, "rep", "left").select("n", "a", "b", "m", F.coalesce("component", "rep").alias("of_class"))
+    known = _with_class(sizes, named).join(group.withColumnRenamed("rep", "id"), "id", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("of_class", "component", "id").alias("component_id"))
     nameless = docs.where(F.col(doc_id).isNull()).select(F.lit(None).cast("long").alias("id"), F.col(text).alias("text"))
     loose = describe(nameless).where("kind = 0").select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"),
                                                         F.lit(None).cast("long").alias("component_id"))
