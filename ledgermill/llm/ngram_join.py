@@ -8,7 +8,7 @@
    knows the largest partner it can have there. Of two sets the smaller meets the larger only by its first floor(n / 9) + 1
    shingles: a passage that makes up less than 8 / 9 of the documents that share it does not bring them together.
 3. On a tile only sizes within the band 0.8 to 1.25 can link: rows are joined by shingle and band, the smaller set in its own
-   band, the larger in its own and the one below. Rows of a (shingle, band) beyond BLOCK are dealt out to several tasks. The
+   band, the larger in each band that its smaller partners can be in. Rows of a (shingle, band) beyond BLOCK are dealt out to several tasks. The
    bit counts of hashed bitmap signatures bound the overlap from above: every bit in which two signatures differ stands for at
    least one shingle that only one set has. Bits are parities, so what both sets have leaves no trace in the difference and
    few bits give a close bound.
@@ -42,8 +42,8 @@ FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 4, 24, 1_000_000
 #: Rows of a (shingle, band) that one task compares with the others there; pairs of a first document that one task verifies;
 #: copies from which a class is joined apart from the others. These deal out the work and change no result.
 BLOCK, PARTNERS, HOT_CLASS = 512, 256, 1000
-#: Ratio of two bands: a little above 1.25, so that sizes which can link are in one band or in neighbouring ones.
-BAND = 1.26
+#: Ratio of two bands of sizes. At 2 a third of the sizes have partners in two bands.
+BAND = 2.0
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
@@ -242,12 +242,14 @@ def _with_class(sizes: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _meetings(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """a, b: pairs of different components on a tile that sizes, places and signatures allow. `rows` has key, id, n, most, component."""
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
-    full = broadcast_if_small(rows.where("most >= n").groupBy("key", band.alias("band")).agg(
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size) / F.log(F.lit(BAND))).cast("int")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    full = broadcast_if_small(rows.where("most >= n").groupBy("key", band(F.col("n")).alias("band")).agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
     rows = rows.join(signed.select("id", "bits"), "id")
-    smaller = rows.where("most >= n").withColumn("band", band)
-    larger = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    smaller = rows.where("most >= n").withColumn("band", band(F.col("n")))
+    larger = rows.where(F.col("most") >= least).withColumn("band", F.explode(F.sequence(band(least), band(F.least("n", "most")))))
     smaller = smaller.join(full, ["key", "band"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "blocks"), F.lit(0)).cast("int"))
     larger = larger.join(full, ["key", "band"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
     at = ["key", "band", "block"]
@@ -273,7 +275,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     classes = materialise(sizes.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     copies = broadcast_if_small(_with_class(sizes, classes).where(F.col("id") != F.col("rep")).select("id"))
     reps = materialise(prefixes(texts, heavy.view(_U)).join(copies, "id", "left_anti"))
-    # dealt out by tile once: counted, and joined with the counts; only rows that can have a partner on their tile stay
+    # dealt out by tile once: counted, and joined with the counts; only rows that can have a partner on their tile stay. The
+    # condition on them is written so that Spark derives no filter from it, which would deal the tiles out a second time.
     tiles = (reps.select("id", "n", F.posexplode("keys").alias("place", "key"))
              .select("id", "n", "key", largest_partner(F.col("n"), F.col("place")).alias("most")).repartition("key"))
     smaller = F.col("most") >= F.col("n")
@@ -282,7 +285,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.min(F.when(smaller, F.col("id"))).alias("head"), F.min_by("n", F.when(smaller, F.col("id"))).alias("head_n"),
         F.min_by("most", F.when(smaller, F.col("id"))).alias("head_most"))
     met_on = materialise(tiles.join(several.where("least < last AND head IS NOT NULL").drop("least", "last").hint("shuffle_hash"), "key")
-                         .where("least_n <= most").drop("least_n"))
+                         .where(F.coalesce(F.col("least_n") <= F.col("most"), F.lit(False))).drop("least_n"))
     signed = reps.select("id", "n", "bits")
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
