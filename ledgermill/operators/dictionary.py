@@ -7,19 +7,25 @@ and end inside a word, so only their inner words are whole words of the text. Ki
 - `b<j><l>`: the last j letters of a word, a blank and the first l letters of the next (j and l up to 3);
 - `c<q>`: the first q letters of a phrase of one word (q up to 4).
 
-Of the keys that a phrase could have it gets the one that the fewest phrases of the dictionary share. A text gives the keys of
+Of the keys that a phrase could have it gets the one that makes the fewest candidates: the phrases of the dictionary that share it,
+times its chance in a text, a quarter for each letter. A text gives the keys of
 those kinds that the dictionary uses; equal keys make a candidate, and the text itself decides whether it holds the phrase.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.text import document_form, let
 from ledgermill.operators.extraction import phrase_windows, window_values
+from ledgermill.session import materialise
 
 _EDGE, _GRAM = 3, 4
+#: An index of at most so many bytes of strings is broadcast, so that the keys of the texts need no shuffle.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _pairs(words: Column) -> Column:
@@ -49,59 +55,64 @@ def phrase_index(dictionary: DataFrame) -> DataFrame:
                  F.transform(inner, lambda w: _key("w1", w)), F.transform(_pairs(words), edge)))
     keyed = phrases.withColumn("key", F.explode(F.array_distinct(possible)))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"))
-    best = keyed.join(shared, "key").groupBy("item", "item_ord", "phrase", "var_ord").agg(
-        F.min(F.struct("sharing", F.substring_index("key", ":", 1).alias("kind"), "key")).alias("best"))
+    candidates = (F.log2("sharing") - 2 * F.char_length("key")).alias("candidates")
+    best = keyed.join(shared, "key").groupBy("item", "item_ord", "phrase", "var_ord").agg(F.min(F.struct(candidates, "key")).alias("best"))
     return best.select("item", "item_ord", "var_ord", "phrase", "best.key")
 
 
-def key_kinds(index: DataFrame) -> list[str]:
-    """The kinds of keys in use: 15 at most."""
-    return sorted(r[0] for r in index.select(F.substring_index("key", ":", 1)).distinct().collect())
-
-
-def text_keys(form: Column, kinds: list[str]) -> Column:
-    """The distinct keys of these kinds that a text in document form holds."""
-    def first(pair: Column) -> Column:
-        return F.substring_index(pair, " ", 1)
-
-    def second(pair: Column) -> Column:
-        return F.substring_index(pair, " ", -1)
-
-    def keys(words: Column, pairs: Column) -> Column:
-        parts = []
-        for kind in kinds:
-            if kind == "w1":
-                parts.append(F.transform(words, lambda w: _key("w1", w)))
-            elif kind == "w2":
-                parts.append(F.transform(pairs, lambda p: _key("w2", p)))
-            elif kind[0] == "b":
-                j, l = int(kind[1]), int(kind[2])
-                parts.append(F.transform(F.filter(pairs, lambda p: (F.char_length(first(p)) >= j) & (F.char_length(second(p)) >= l)),
-                                         lambda p: _key(kind, F.concat(F.right(first(p), F.lit(j)), F.lit(" "), F.left(second(p), F.lit(l))))))
-            else:
-                q = int(kind[1])
-                parts.append(F.flatten(F.transform(F.filter(words, lambda w: F.char_length(w) >= q), lambda w: F.transform(
-                    F.sequence(F.lit(1), F.char_length(w) - q + 1), lambda i: _key(kind, F.substr(w, i, F.lit(q)))))))
-        return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-    # words and neighbouring words once each, before keys of any kind are made of them
-    return let(F.split(form, " "), lambda words: let(F.array_distinct(words), lambda single: let(
-        F.array_distinct(F.transform(_pairs(words), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))), lambda pairs: keys(single, pairs))))
+def key_kinds(index: DataFrame) -> dict[str, int]:
+    """The kinds of keys in use, 15 at most, and how many bytes of strings the index rows of each hold."""
+    size = F.octet_length("key") + F.octet_length("phrase") + F.octet_length("item")
+    return {r[0]: r[1] for r in index.groupBy(F.substring_index("key", ":", 1)).agg(F.sum(size)).collect()}
+
+
+def text_keys(forms: DataFrame, form: str, kinds: Iterable[str]) -> DataFrame:
+    """The columns of `forms` but the text in document form, and `key`: the keys of these kinds that the text holds. One key may come
+    several times. A row per word and its next one comes first, so that keys are made in generated code."""
+    def pair(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(" "), F.coalesce(b, F.lit("")))
+    pairs = let(F.split(form, " "), lambda w: F.array_distinct(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), pair)))
+    # outer: a plain explode makes the optimizer evaluate the array once more in a filter below it
+    rows = forms.select(*[c for c in forms.columns if c != form], F.explode_outer(pairs).alias("_pair"))
+    a, b = F.substring_index("_pair", " ", 1), F.substring_index("_pair", " ", -1)
+    none = F.array().cast("array<string>")
+
+    def within(kind: str, size: int) -> Column:
+        """The keys of every `size` letters in a row of a word."""
+        return F.when(F.char_length(a) >= size, F.transform(
+            F.sequence(F.lit(1), F.char_length(a) - size + 1), lambda i: _key(kind, F.substr(a, i, F.lit(size))))).otherwise(none)
+    single, grams = [], []
+    for kind in sorted(kinds):
+        if kind == "w1":
+            single.append(_key("w1", a))
+        elif kind == "w2":
+            single.append(_key("w2", F.col("_pair")))
+        elif kind[0] == "b":
+            j, l = int(kind[1]), int(kind[2])       # a shorter word makes a shorter key, which no phrase has
+            single.append(_key(kind, F.concat(F.substring(a, -j, j), F.lit(" "), F.substring(b, 1, l))))
+        else:
+            grams.append(within(kind, int(kind[1])))
+    parts = ([F.array(*single)] if single else []) + grams
+    every = F.concat(*parts) if parts else none
+    return rows.select(*[c for c in rows.columns if c != "_pair"], F.explode_outer(every).alias("key")).where("key IS NOT NULL")
 
 
 def phrases_in(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `documents` but the text, with `_form` (the text in document form) and `_present`: the phrases that stand in
     it as structs (item_ord, item, var_ord, phrase), in that order; documents without any have an empty array.
 
-    Keys and phrases are joined by equality; Spark broadcasts the index while it is small and shuffles both sides beyond. Rows
+    Keys and phrases are joined by equality; the index is broadcast up to a size, which is measured, and both sides are shuffled beyond. Rows
     that repeat a key are searched each by their own text; a null key is a key. A key that many texts and many phrases share
     makes as many candidates; the choice of rare keys keeps them few.
     """
-    index = phrase_index(dictionary)
+    index = materialise(phrase_index(dictionary))       # read twice: for its kinds and by the join
     forms = documents.withColumn("_form", F.coalesce(document_form(F.col(text)), F.lit(""))).drop(text)
-    # outer: a plain explode makes the optimizer evaluate the keys once more in a filter below it
-    keys = forms.select(F.col(key).alias("_doc"), F.explode_outer(text_keys(F.col("_form"), key_kinds(index))).alias("key")).where("key IS NOT NULL")
-    found = keys.join(index, "key").select("_doc", F.struct("item_ord", "item", "var_ord", "phrase").alias("p"))
-    candidates = found.groupBy("_doc").agg(F.array_sort(F.collect_set("p")).alias("_possible"))
+    kinds = key_kinds(index)
+    keys = text_keys(forms.select(F.col(key).alias("_doc"), "_form"), "_form", kinds)
+    near = F.broadcast(index) if sum(kinds.values()) <= BROADCAST_BYTES else index.hint("shuffle_hash")
+    # a text has its frequent keys many times: hashed away on the map side, before anything is collected
+    found = keys.join(near, "key").select("_doc", "item_ord", "item", "var_ord", "phrase").distinct()
+    candidates = found.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("item_ord", "item", "var_ord", "phrase"))).alias("_possible"))
     joined = forms.join(candidates, forms[key].eqNullSafe(candidates["_doc"]), "left").drop("_doc")
     none = F.array().cast("array<struct<item_ord:int,item:string,var_ord:int,phrase:string>>")
     present = F.filter(F.coalesce("_possible", none), lambda p: F.contains(F.col("_form"), p["phrase"]))

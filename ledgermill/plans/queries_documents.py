@@ -70,7 +70,7 @@ def dictionary_matches(spark: SparkSession, sf: str) -> DataFrame:
     cut = D.table(spark, sf, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.posexplode(starts).alias("n", "at"))
     phrases = cut.select(F.concat(F.lit("butir "), F.col("item_id").cast("string")).alias("item"), F.col("item_id").cast("int").alias("item_ord"),
                          F.array_join(F.slice("w", F.col("at"), F.pmod(F.col("n"), F.lit(5)) + 1), " ").alias("variation"), F.col("n").alias("var_ord"))
-    return dictionary.dictionary_matches(D.table(spark, sf, "documents"), phrases)
+    return dictionary.dictionary_matches(D.spread(D.table(spark, sf, "documents").select("doc_id", "text")), phrases)
 
 
 def two_value_extract(spark: SparkSession, sf: str) -> DataFrame:
