@@ -29,11 +29,13 @@ SELECT doc_id, item_id, n::BIGINT AS n_shingles, c::BIGINT AS n_found, c / n AS
 _VERDICTS = r"""WITH placed AS (
   SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-parts AS (SELECT *, string_split(host, '.') AS l FROM placed),
+named AS (SELECT *, regexp_replace(host, '(?s)^.*@|\.?(:[0-9]*)?\z', '', 'g') AS name FROM placed),
+parts AS (SELECT *, CASE WHEN regexp_matches(name, '^(([0-9]+\.){3}[0-9]+\z|\[)') THEN [name] ELSE string_split(name, '.') END AS l FROM named),
 keyed AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN 2 ELSE 1 END AS s FROM parts),
 sited AS (SELECT *, array_to_string(l[-s:], '.') AS suffix, array_to_string(l[-(s + 1):], '.') AS domain FROM keyed),
-hosts AS (SELECT host, domain, suffix, sum(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)))::DOUBLE AS b, count(*)::DOUBLE AS n
-  FROM sited JOIN labels ON doc_id = page_id WHERE host <> '' GROUP BY ALL),
+hosts AS (SELECT host, domain, suffix, count(doc_id)::DOUBLE AS n,
+    sum(CASE WHEN doc_id IS NULL THEN 0 ELSE greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)) END)::DOUBLE AS b
+  FROM sited LEFT JOIN labels ON doc_id = page_id WHERE host <> '' GROUP BY host, domain, suffix),
 domains AS (SELECT domain, suffix, sum(b) AS b, sum(n) AS n FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(b) AS b, sum(n) AS n FROM domains GROUP BY ALL),
 m_s AS (SELECT suffix, (b + (SELECT (sum(b) + 1) / (sum(n) + 2) FROM suffixes) * 20.0) / (n + 20.0) AS m FROM suffixes),

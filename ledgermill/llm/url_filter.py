@@ -2,7 +2,8 @@
 
 Outcomes of labelled pages are counted per host. Each level - all, public suffix, registered domain, host - has a beta
 prior centred on the posterior mean of the level above, so a host with few labels is judged by its domain and a domain with
-few labels by its suffix; a host without labels has the posterior of its domain, else of its suffix, else of all. A host is blocked when even the lower bound of its posterior share of bad pages is above a limit.
+few labels by its suffix; a host without labels has the posterior of its domain, else of its suffix, else of all. User and port
+belong to the host, not to its domain; an address is its own domain and suffix. A host is blocked when even the lower bound of its posterior share of bad pages is above a limit.
 """
 
 from __future__ import annotations
@@ -32,15 +33,27 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(host, r"(?s)^.*@|\.?(:[0-9]*)?\z", "")
+
+
+def _address(name: Column) -> Column:
+    return F.rlike(name, F.lit(r"^(([0-9]+\.){3}[0-9]+\z|\[)"))
+
+
 def suffix_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    """Public suffix of the host's name; an address is its own."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_address(name), name).when(two.isin(*long_suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
-    """Registered domain: the suffix and one label more."""
-    long = F.substring_index(host, ".", -2).isin(*long_suffixes)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """Registered domain: the suffix and one label more; an address is its own."""
+    name = name_of(host)
+    long = F.substring_index(name, ".", -2).isin(*long_suffixes)
+    return F.when(_address(name), name).when(long, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
