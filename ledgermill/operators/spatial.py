@@ -93,7 +93,9 @@ def nearest_amounts(hits: DataFrame, boxes: DataFrame, keywords: KeywordSet = CO
         .where((F.col("reach_y") > 0) & (F.col("reach_x") > 0))
         .withColumns({"grid_x": F.ceil(F.log2("reach_x")).cast("int"), "grid_y": F.ceil(F.log2("reach_y")).cast("int")}))
     width, height = F.pow(F.lit(2.0), F.col("grid_x")), F.pow(F.lit(2.0), F.col("grid_y"))
-    grids = phrases.select("doc_id", "grid_x", "grid_y").distinct()
+    # Spark's estimate of boxes that come from arrays or files is far below their number, and a side that is broadcast by it
+    # may not fit the driver: both joins are merges, whatever the estimate.
+    grids = phrases.select("doc_id", "grid_x", "grid_y").distinct().hint("merge")
     celled = amounts.drop("own").join(grids, "doc_id").withColumns(
         {"cell_x": F.floor(F.col("left") / width), "cell_y": F.floor(F.col("mid") / height)})
     looked = phrases.withColumn("cell_x", F.explode(F.sequence(
@@ -102,7 +104,7 @@ def nearest_amounts(hits: DataFrame, boxes: DataFrame, keywords: KeywordSet = CO
             F.floor((F.col("centre") - F.col("reach_y")) / height),
             F.floor((F.col("centre") + F.col("reach_y")) / height))))
     gap = F.col("left") - F.col("right")
-    near = looked.join(celled, ["doc_id", "grid_x", "grid_y", "cell_x", "cell_y"]).where(
+    near = looked.join(celled.hint("merge"), ["doc_id", "grid_x", "grid_y", "cell_x", "cell_y"]).where(
         (gap > 0) & (gap < F.col("reach_x")) & (F.abs(F.col("centre") - F.col("mid")) < F.col("reach_y"))
         & ~((F.col("word_seq") >= F.col("first.seq")) & (F.col("word_seq") < F.col("first.seq") + F.col("first.words"))))
     return near.groupBy("doc_id", "item").agg(F.min_by(

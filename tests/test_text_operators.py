@@ -230,3 +230,14 @@ def test_repeated_outlook_entries_do_not_double_applicants(spark):
     assert len(out) == 2 and out[1] == "Rendah"
     assert {r.id: r.outlook for r in sector_outlook(rows, outlook.drop("pos")).collect()}[1] == "Tinggi"
     assert sector_outlook(rows, outlook).count() == 2
+
+
+def test_spatial_joins_never_broadcast(spark):
+    """However small Spark takes the boxes to be: boxes made by a generator are many more than it counts."""
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.inline(F.array(*[F.struct(
+        F.lit(i).alias("seq"), F.lit(w).alias("text"), F.lit(50.0 * i).alias("x0"), F.lit(0.0).alias("y0"),
+        F.lit(50.0 * i + 40).alias("x1"), F.lit(10.0).alias("y1")) for i, w in enumerate(["Jumlah", "aset", "7"])])))
+    found = spatial_extract(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.doc_id, r.item, r.value) for r in found.collect()) == [(i, "Jumlah aset", 7.0) for i in range(3)]
