@@ -10,22 +10,29 @@ and end inside a word, so only their inner words are whole words of the text. Ki
 Of the keys that a phrase could have it gets the one that makes the fewest candidates: the phrases of the dictionary that share it,
 times its chance in a text, a quarter for each letter. A text gives the keys of
 those kinds that the dictionary uses; equal keys make a candidate, and the text itself decides whether it holds the phrase.
+
+An index of bounded size goes to every task, which looks up the word pairs of its texts in Arrow batches; a larger one is joined
+to the keys of the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgermill.functions.text import document_form, let
 from ledgermill.operators.extraction import phrase_windows, window_values
 from ledgermill.session import materialise
 
 _EDGE, _GRAM = 3, 4
-#: An index of at most so many bytes of strings is broadcast, so that the keys of the texts need no shuffle.
-BROADCAST_BYTES = 32 * 1024 * 1024
+#: An index of at most so many bytes of strings is sent to the tasks, so that the keys of the texts need no rows of their own.
+BROADCAST_BYTES = 8 * 1024 * 1024
+#: A task remembers what so many words lead to.
+REMEMBERED_WORDS = 200_000
 
 
 def _pairs(words: Column) -> Column:
@@ -97,21 +104,86 @@ def text_keys(forms: DataFrame, form: str, kinds: Iterable[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "_pair"], F.explode_outer(every).alias("key")).where("key IS NOT NULL")
 
 
+def _by_parts(rows: list[tuple]) -> tuple[dict, dict, dict]:
+    """Index rows (the key last) by the parts of their keys: (kind, word or letters), (first part, second part) of two whole words and of
+    the edges of two words, each with the numbers of its rows."""
+    single, double, edges = {}, {}, {}
+    for i, row in enumerate(rows):
+        kind, part = row[-1].split(":", 1)
+        if kind == "w1" or kind[0] == "c":
+            single.setdefault((kind[0], part), []).append(i)
+        else:
+            first, second = part.split(" ")
+            (double if kind == "w2" else edges).setdefault(first, {}).setdefault(second, []).append(i)
+    return single, double, edges
+
+
+def _word_rows(word: str, single: dict, double: dict, edges: dict) -> tuple:
+    """Numbers of the rows whose key the word alone holds; by the next word, and by its first letters, those of keys of two words; the
+    first letters that the word itself has."""
+    grams = {("c", word[i:i + q]) for q in range(1, _GRAM + 1) for i in range(len(word) - q + 1)}
+    own = {i for k in [("w", word), *grams] for i in single.get(k, ())}
+    nexts: dict[str, list[int]] = {}
+    for j in range(min(_EDGE, len(word)) + 1):
+        for letters, ids in edges.get(word[len(word) - j:], {}).items():
+            nexts[letters] = nexts.get(letters, []) + ids
+    return tuple(own), double.get(word), nexts, [word[:l] for l in range(min(_EDGE, len(word)) + 1)]
+
+
+def _phrase_search(index: DataFrame) -> Callable[[Column], Column]:
+    """For an index of bounded size, a function of a text in document form: its phrases as in `phrases_in`. Words recur, so a task
+    remembers what a word leads to."""
+    entry = index.select("item_ord", "item", "var_ord", "phrase").schema
+    sent = index.sparkSession.sparkContext.broadcast(
+        [tuple(r) for r in index.select(*entry.names, "key").orderBy(*entry.names).collect()])
+    state: dict = {}
+
+    def search(forms: pa.Array) -> pa.Array:
+        rows = sent.value
+        if not state:                                   # once a task
+            columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate(numbers)]
+            state.update(parts=_by_parts(rows), words={}, entries=pa.StructArray.from_arrays(columns, names=entry.names))
+        known, found, ends = state["words"], [], [0]
+        for form in forms.to_pylist():
+            words = form.split(" ")
+            if len(known) > REMEMBERED_WORDS:
+                known.clear()
+            possible: set[int] = set()
+            for word in set(words) | {""}:
+                if word not in known:
+                    known[word] = _word_rows(word, *state["parts"])
+                possible.update(known[word][0])
+            for a, b in set(zip(words, [*words[1:], ""])):
+                _, double, nexts, _ = known[a]
+                if double:
+                    possible.update(double.get(b, ()))
+                if nexts:
+                    for letters in known[b][3]:
+                        if letters in nexts:
+                            possible.update(nexts[letters])
+            found += [i for i in sorted(possible) if rows[i][3] in form]        # the order of the sorted index
+            ends.append(len(found))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), state["entries"].take(pa.array(found, pa.int32())))
+    numbers = [{"int": pa.int32(), "bigint": pa.int64()}.get(f.dataType.simpleString(), pa.string()) for f in entry]
+    return F.arrow_udf(search, T.ArrayType(entry))
+
+
 def phrases_in(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `documents` but the text, with `_form` (the text in document form) and `_present`: the phrases that stand in
     it as structs (item_ord, item, var_ord, phrase), in that order; documents without any have an empty array.
 
-    Keys and phrases are joined by equality; the index is broadcast up to a size, which is measured, and both sides are shuffled beyond. Rows
-    that repeat a key are searched each by their own text; a null key is a key. A key that many texts and many phrases share
-    makes as many candidates; the choice of rare keys keeps them few.
+    An index is sent to the tasks up to a size, which is measured, and no text is shuffled; beyond, keys and phrases are joined by
+    equality and both sides are shuffled. Rows that repeat a key are searched each by their own text; a null key is a key. A key that
+    many texts and many phrases share makes as many candidates; the choice of rare keys keeps them few.
     """
-    index = materialise(phrase_index(dictionary))       # read twice: for its kinds and by the join
+    index = materialise(phrase_index(dictionary))       # read twice: for its kinds and for the search
     forms = documents.withColumn("_form", F.coalesce(document_form(F.col(text)), F.lit(""))).drop(text)
     kinds = key_kinds(index)
+    if sum(kinds.values()) <= BROADCAST_BYTES:
+        return forms.withColumn("_present", _phrase_search(index)("_form"))
     keys = text_keys(forms.select(F.col(key).alias("_doc"), "_form"), "_form", kinds)
-    near = F.broadcast(index) if sum(kinds.values()) <= BROADCAST_BYTES else index.hint("shuffle_hash")
     # a text has its frequent keys many times: hashed away on the map side, before anything is collected
-    found = keys.join(near, "key").select("_doc", "item_ord", "item", "var_ord", "phrase").distinct()
+    found = keys.join(index.hint("shuffle_hash"), "key").select("_doc", "item_ord", "item", "var_ord", "phrase").distinct()
     candidates = found.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("item_ord", "item", "var_ord", "phrase"))).alias("_possible"))
     joined = forms.join(candidates, forms[key].eqNullSafe(candidates["_doc"]), "left").drop("_doc")
     none = F.array().cast("array<struct<item_ord:int,item:string,var_ord:int,phrase:string>>")
@@ -122,7 +194,8 @@ def phrases_in(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id",
 def dictionary_matches(documents: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, item, phrase, position (of the first occurrence, from 1) of every phrase that stands in a text."""
     rows = phrases_in(documents.select(key, text), dictionary, key, text)
-    return rows.select(key, "_form", F.inline("_present")).select(
+    # outer: a plain inline makes the optimizer search the text once more in a filter below it
+    return rows.select(key, "_form", F.inline_outer("_present")).where("phrase IS NOT NULL").select(
         key, "item", "phrase", F.instr(F.col("_form"), F.col("phrase")).cast("bigint").alias("position"))
 
 

@@ -69,6 +69,25 @@ def test_hundred_thousand_phrases(spark):
     assert index.count() == len(by_item) and len(D.key_kinds(index)) <= 15
 
 
+def test_sent_index_is_the_joined_index(spark, monkeypatch):
+    """An index of bounded size is looked up in the tasks, without a join of all keys of all texts; the phrases are the same."""
+    phrases = [*[p for _, ps in ITEMS for p in ps], "a ", " b", "ket", "é", "", None, "lab"]
+    table = spark.createDataFrame([(f"i{n % 4}", n % 4, p, n) for n, p in enumerate(phrases)], "item string, item_ord int, variation string, var_ord int")
+    docs = spark.createDataFrame([*random_docs(80, 9), (7, "ASET  lancar"), (None, "laba é kotor"), (90, None), (91, "")], "doc_id long, text string")
+
+    def found():
+        rows = D.phrases_in(docs, table)
+        return rows, sorted(map(str, rows.select("doc_id", "_form", "_present").collect()))
+    sent, result = found()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(D, "REMEMBERED_WORDS", 3)
+    assert found()[1] == result
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    joined, expected = found()
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString() and result == expected
+
+
 def test_empty_dictionary_and_odd_phrases(spark):
     docs = spark.createDataFrame([(1, "satu dua 5")], "doc_id long, text string")
     none = spark.createDataFrame([], KEYWORD_SCHEMA)
