@@ -125,3 +125,19 @@ def test_replayed_batches_count_once(spark, folder):
     assert sorted(map(tuple, jobs.update_log(spark, root).collect())) == [
         (0, rm.UPDATED, 60, 1), (1, rm.SINGLE_CLASS, 20, 1), (2, rm.UPDATED, 60, 3)]
     assert len(jobs.latest_model(spark, root, algorithm=jobs.CONTINUED).trees) == 3 and not (folder / "m" / "history").exists()
+
+
+def test_truth_files_are_written_by_many_tasks(spark, tmp_path):
+    """A supplier table of one row group is one task; its files are not."""
+    import glob
+
+    from ledgermill.plans import queries_jobs
+    from ledgermill.session import shared_folder
+    spark.createDataFrame([(i, float(i)) for i in range(40)], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/truth-*"))
+    truth = queries_jobs.truth_files(spark, str(tmp_path))
+    assert sorted((r.supplier, r.assets, r.items) for r in truth.collect()) == [(i, float(i), 2) for i in range(40) if i % 10 not in (4, 7)]
+    (made,) = set(glob.glob(f"{folder}/truth-*")) - before
+    files = glob.glob(f"{made}/supplier=*/part-*")
+    assert len(files) == 40 and len({f.rsplit("/", 1)[1][:10] for f in files}) > 1
