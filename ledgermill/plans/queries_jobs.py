@@ -139,8 +139,9 @@ def truth_files(spark: SparkSession, sf: str) -> DataFrame:
     data = F.create_map(F.lit(V.ASSETS), F.col("s_acctbal"), F.lit(V.EQUITY), F.lit(None).cast("double"))
     body = F.to_json(F.struct(data.alias("ground_truth_data")))
     text = F.when(F.pmod(k, F.lit(10)) == 4, F.expr("left(body, length(body) - 2)")).when(F.pmod(k, F.lit(10)) == 7, '{"lain": 1}').otherwise(F.col("body"))
-    # one row group is one task, which would write all files; and each task moves its own files into place, not the driver all of them
-    rows = D.spread(D.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"))
+    # one row group is one task, which would write all files; rows of one supplier stay together, as they share its file. Each task
+    # moves its own files into place, not the driver all of them.
+    rows = D.table(spark, sf, "supplier").select("s_suppkey", "s_acctbal").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
     rows.select(k.alias("supplier"), k, body.alias("body")).select("supplier", text.alias("text")).write.partitionBy("supplier").option(
         "mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     truth = S.ground_truth(spark, folder, F.regexp_extract("source", "supplier=([0-9]+)", 1))

@@ -128,12 +128,12 @@ def test_replayed_batches_count_once(spark, folder):
 
 
 def test_truth_files_are_written_by_many_tasks(spark, tmp_path):
-    """A supplier table of one row group is one task; its files are not."""
+    """A supplier table of one row group is one task; its files are not, but rows of one supplier share a file."""
     import glob
 
     from ledgermill.plans import queries_jobs
     from ledgermill.session import shared_folder
-    spark.createDataFrame([(i, float(i)) for i in range(40)], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, float(i)) for i in [*range(40), *range(40)]], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     folder = shared_folder(spark).removeprefix("file:")
     before = set(glob.glob(f"{folder}/truth-*"))
     truth = queries_jobs.truth_files(spark, str(tmp_path))
