@@ -241,3 +241,15 @@ def test_spatial_joins_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert sorted((r.doc_id, r.item, r.value) for r in found.collect()) == [(i, "Jumlah aset", 7.0) for i in range(3)]
+
+
+def test_word_lines_shuffle_texts_not_words(spark, tmp_path):
+    from ledgermill.plans.queries_documents import word_lines
+    rows = [(1, " ".join(f"k{i}" for i in range(20))), (1, "lain dua"), (None, "a b  c"), (None, "a x"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = word_lines(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
+    lines = sorted((r.doc_id or 0, r.line, sorted(r.line_text.split())) for r in found.collect())
+    assert lines == [(0, 0, ["b", "c", "x"]), (1, 0, sorted([f"k{i}" for i in range(1, 8)] + ["dua"])),
+                     (1, 1, sorted(f"k{i}" for i in range(8, 16) if i != 13)), (1, 2, ["k16", "k17", "k18", "k19"])]
