@@ -11,13 +11,14 @@ Of the keys that a phrase could have it gets the one that makes the fewest candi
 times its chance in a text, a quarter for each letter. A text gives the keys of
 those kinds that the dictionary uses; equal keys make a candidate, and the text itself decides whether it holds the phrase.
 
-An index of bounded size goes to every task, which looks up the word pairs of its texts in Arrow batches; a larger one is joined
-to the keys of the texts.
+An index of bounded size goes to every task, which looks up what its texts have of the kinds in use in Arrow batches; a larger one is
+joined to the keys of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,9 @@ from ledgermill.session import materialise
 _EDGE, _GRAM = 3, 4
 #: An index of at most so many bytes of strings is sent to the tasks, so that the keys of the texts need no rows of their own.
 BROADCAST_BYTES = 8 * 1024 * 1024
-#: A task remembers what so many words lead to.
+#: So many first letters of phrases of one word are each searched in a text; of more, the words of the text are looked up.
+FEW_KEYS = 64
+#: A task remembers what first letters so many words hold.
 REMEMBERED_WORDS = 200_000
 
 
@@ -104,35 +107,39 @@ def text_keys(forms: DataFrame, form: str, kinds: Iterable[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "_pair"], F.explode_outer(every).alias("key")).where("key IS NOT NULL")
 
 
-def _by_parts(rows: list[tuple]) -> tuple[dict, dict, dict]:
-    """Index rows (the key last) by the parts of their keys: (kind, word or letters), (first part, second part) of two whole words and of
-    the edges of two words, each with the numbers of its rows."""
-    single, double, edges = {}, {}, {}
+def _by_kind(rows: list[tuple]) -> dict[str, dict[str, list[int]]]:
+    """Index rows (the key last) by the kind and the text of their keys, each with the numbers of its rows."""
+    out: dict[str, dict[str, list[int]]] = {}
     for i, row in enumerate(rows):
         kind, part = row[-1].split(":", 1)
-        if kind == "w1" or kind[0] == "c":
-            single.setdefault((kind[0], part), []).append(i)
-        else:
-            first, second = part.split(" ")
-            (double if kind == "w2" else edges).setdefault(first, {}).setdefault(second, []).append(i)
-    return single, double, edges
-
-
-def _word_rows(word: str, single: dict, double: dict, edges: dict) -> tuple:
-    """Numbers of the rows whose key the word alone holds; by the next word, and by its first letters, those of keys of two words; the
-    first letters that the word itself has."""
-    grams = {("c", word[i:i + q]) for q in range(1, _GRAM + 1) for i in range(len(word) - q + 1)}
-    own = {i for k in [("w", word), *grams] for i in single.get(k, ())}
-    nexts: dict[str, list[int]] = {}
-    for j in range(min(_EDGE, len(word)) + 1):
-        for letters, ids in edges.get(word[len(word) - j:], {}).items():
-            nexts[letters] = nexts.get(letters, []) + ids
-    return tuple(own), double.get(word), nexts, [word[:l] for l in range(min(_EDGE, len(word)) + 1)]
+        out.setdefault(kind, {}).setdefault(part, []).append(i)
+    return out
+
+
+def _keys_held(form: str, words: list[str], kind: str, keys: dict[str, list[int]], known: dict[str, tuple]) -> Iterable[str]:
+    """The keys of one kind that a text in document form, and its words, hold. Whatever of that kind the text has is cut out and looked up at
+    once; only first letters of phrases, if there are many, are looked for in every word, and what a word holds is remembered."""
+    if kind == "w1":
+        return keys.keys() & set(words)
+    if kind == "w2":
+        return keys.keys() & set(map(" ".join, zip(words, words[1:])))
+    size = int(kind[1])
+    if kind[0] == "b":                                  # the last letters of a word end in front of a blank, others follow it
+        behind = 1 + int(kind[2])
+        blanks = accumulate(map(len, words[:-1]), lambda at, n: at + 1 + n)
+        return keys.keys() & {form[max(at - size, 0):at + behind] for at in blanks}
+    if len(keys) <= FEW_KEYS:
+        return [k for k in keys if k in form]
+    if len(known) > REMEMBERED_WORDS:
+        known.clear()
+    own = set(words)
+    for word in own - known.keys():
+        known[word] = tuple(keys.keys() & {word[i:i + size] for i in range(len(word) - size + 1)})
+    return {k for word in own for k in known[word]}
 
 
 def _phrase_search(index: DataFrame) -> Callable[[Column], Column]:
-    """For an index of bounded size, a function of a text in document form: its phrases as in `phrases_in`. Words recur, so a task
-    remembers what a word leads to."""
+    """For an index of bounded size, a function of a text in document form: its phrases as in `phrases_in`."""
     entry = index.select("item_ord", "item", "var_ord", "phrase").schema
     sent = index.sparkSession.sparkContext.broadcast(
         [tuple(r) for r in index.select(*entry.names, "key").orderBy(*entry.names).collect()])
@@ -142,25 +149,11 @@ def _phrase_search(index: DataFrame) -> Callable[[Column], Column]:
         rows = sent.value
         if not state:                                   # once a task
             columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate(numbers)]
-            state.update(parts=_by_parts(rows), words={}, entries=pa.StructArray.from_arrays(columns, names=entry.names))
-        known, found, ends = state["words"], [], [0]
+            state.update(kinds=[(kind, keys, {}) for kind, keys in _by_kind(rows).items()], entries=pa.StructArray.from_arrays(columns, names=entry.names))
+        found, ends = [], [0]
         for form in forms.to_pylist():
             words = form.split(" ")
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            possible: set[int] = set()
-            for word in set(words) | {""}:
-                if word not in known:
-                    known[word] = _word_rows(word, *state["parts"])
-                possible.update(known[word][0])
-            for a, b in set(zip(words, [*words[1:], ""])):
-                _, double, nexts, _ = known[a]
-                if double:
-                    possible.update(double.get(b, ()))
-                if nexts:
-                    for letters in known[b][3]:
-                        if letters in nexts:
-                            possible.update(nexts[letters])
+            possible = {i for kind, keys, known in state["kinds"] for key in _keys_held(form, words, kind, keys, known) for i in keys[key]}
             found += [i for i in sorted(possible) if rows[i][3] in form]        # the order of the sorted index
             ends.append(len(found))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), state["entries"].take(pa.array(found, pa.int32())))

@@ -88,6 +88,26 @@ def test_sent_index_is_the_joined_index(spark, monkeypatch):
     assert "Join" in joined._jdf.queryExecution().executedPlan().toString() and result == expected
 
 
+@pytest.mark.parametrize("few, remembered", [(64, 200_000), (0, 200_000), (0, 2)])
+def test_keys_held_by_a_text_are_found_for_every_kind(monkeypatch, few, remembered):
+    """Keys are cut out of a text at once, not letter by letter of each word that no text had before; none that the text holds is lost."""
+    monkeypatch.setattr(D, "FEW_KEYS", few)
+    monkeypatch.setattr(D, "REMEMBERED_WORDS", remembered)
+    rng, kinds = random.Random(8), {}
+    texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 12))) for _ in range(150)] + [""]
+    memory = {}
+    for form in texts:
+        words, pairs = form.split(" "), list(zip(form.split(" "), [*form.split(" ")[1:], ""]))
+        held = {"w1": set(words) - {""}, "w2": {f"{a} {b}" for a, b in pairs if b}}
+        held |= {f"b{j}{l}": {f"{a[len(a) - j:]} {b[:l]}" for a, b in pairs if len(a) >= j and len(b) >= l and b} for j in range(4) for l in range(4)}
+        held |= {f"c{q}": {w[i:i + q] for w in words for i in range(len(w) - q + 1)} for q in range(1, 5)}
+        for kind, expected in held.items():
+            kinds.setdefault(kind, {}).update(dict.fromkeys(expected, [0]))
+        for kind, expected in held.items():             # the keys of all texts so far
+            found = set(D._keys_held(form, words, kind, kinds[kind], memory.setdefault((kind, len(kinds[kind])), {})))
+            assert found == expected & kinds[kind].keys(), (form, kind)
+
+
 def test_empty_dictionary_and_odd_phrases(spark):
     docs = spark.createDataFrame([(1, "satu dua 5")], "doc_id long, text string")
     none = spark.createDataFrame([], KEYWORD_SCHEMA)
