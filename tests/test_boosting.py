@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from ledgermill import fixed_values as V
@@ -123,3 +124,19 @@ def test_learns(spark):
     assert sum(found[r[0]] == r[2] for r in held) / len(held) > 0.75
     assert len(model.borders[0]) <= B.BINS and model.borders[len(USED)] == ()
     assert pytest.approx(0.0, abs=1e-12) == sum(B.Tree((0,), (0,), ((0.0,), (0.0,))).values[0])
+
+
+def test_missing_values_and_other_sectors_are_not_added_up(spark, monkeypatch):
+    """Bin 0 of every feature is what its other bins leave of the leaf; the histogram is that of all entries."""
+    rng = random.Random(4)
+    data = [([0, rng.randint(0, 3), 0, rng.randint(0, 1), 1], [rng.randint(-99, 99), rng.randint(0, 99)]) for _ in range(200)]
+    rows, tables = spark.createDataFrame(data, "bins array<int>, sums array<bigint>"), []
+    to_arrow = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: tables.append(to_arrow(self)) or tables[-1])
+    found = B.histogram(rows, [1, 3], [1, 0], (4, 5, 4), 1)
+    expected = np.zeros((4, 5, 4, 2), np.int64)
+    for bins, sums in data:
+        for f, b in enumerate(bins):
+            expected[(bins[1] > 1) + 2 * (bins[3] > 0), f, b] += sums
+    assert (found == expected).all()
+    assert 0 not in tables[0].column("bin").to_pylist()

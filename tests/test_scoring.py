@@ -5,6 +5,7 @@ from ledgermill import fixed_values as V
 from ledgermill.operators import scoring as S
 from ledgermill.operators.risk_model import train
 from ledgermill.operators.statements import canonical_items, canonical_map, period_pairs, statements
+from ledgermill.plans import derived as D
 
 T = {V.SALES: 108.249, V.ASSETS: 101.003, V.LIABILITIES: 16.289, V.NET_INCOME: 21.661, V.CURRENT_ASSETS: 19.238,
      V.CURRENT_LIABILITIES: 14.3, V.RETAINED: 65.0, V.PRETAX: 22.136, V.INTEREST: 0.55, V.EQUITY: 84.714,
@@ -170,3 +171,24 @@ def test_canonical_names_keep_the_latest_entry(spark):
     assert {(r.item, r.value) for r in canonical_items(long).collect()} == {("Jumlah aset", 6.0), ("Lain", 7.0)}
     assert statements(long).first()["items"] == {"Jumlah aset": 6.0, "Lain": 7.0}
     assert len(V.ALIASES) == 54
+
+
+def test_whole_numbers_are_rounded_as_round_does(spark):
+    values = [None, 0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 0.1 * 3, 114.99999999999999, 4503599627370497.5, 1e15 + 0.5, -7.5000001]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(D.whole(F.col("v")).alias("a"), F.round("v").cast("bigint").alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+
+
+def test_pairs_of_sums_are_the_pairs_of_the_statements(spark, tmp_path):
+    """The earlier period is found for the sums, and no map is shuffled or sorted for it."""
+    rows = [(k, m, 10.0 + i, 100.005 * i, 0.05, 0.02 if i % 4 else None, "RAN"[i % 3], "OF"[i % 2])
+            for i, (k, m) in enumerate((k, m) for k in (1, 2, None) for m in ("1995-01-03", "1995-02-28", "1995-04-01", None) for _ in range(2))]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                          "l_returnflag string, l_linestatus string").withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    pairs = D.supplier_pairs(spark, str(tmp_path))
+    expected = period_pairs(D.supplier_statements(spark, str(tmp_path)))
+    assert pairs.dtypes == expected.dtypes and sorted(map(str, pairs.collect())) == sorted(map(str, expected.collect()))
+    assert pairs.where("items_t1 IS NOT NULL").count() > 2
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "map(" not in plan[plan.index("Window"):]
