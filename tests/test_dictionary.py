@@ -4,8 +4,10 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgermill.functions.text import document_form
 from ledgermill.operators import dictionary as D
@@ -108,6 +110,58 @@ def test_keys_held_by_a_text_are_found_for_every_kind(monkeypatch, few, remember
             assert found == expected & kinds[kind].keys(), (form, kind)
 
 
+def finder(phrases):
+    """A finder of phrases, which may repeat, and its rows."""
+    table = sorted((n % 3, f"i{n % 3}", n, p) for n, p in enumerate(phrases))
+    words = [p.split(" ") for *_, p in table]
+    keys = [f"c{min(len(w[0]), 4)}:{w[0][:4]}" if len(w) == 1 else f"b{min(len(w[0]), 3)}{min(len(w[1]), 3)}:{w[0][-3:]} {w[1][:3]}" for w in words]
+    return D.PhraseFinder([(*row, key) for row, key in zip(table, keys)], StructType.fromDDL("item_ord int, item string, var_ord int, phrase string")), table
+
+
+@pytest.mark.parametrize("chunk, dense", [(256 * 1024, 4), (64, 4), (7, 100), (1, 100), (64, -1)])
+def test_all_phrases_are_found_at_once(monkeypatch, chunk, dense):
+    """Phrases of every length, at the ends of texts, across blocks, with letters of several bytes and in several items; dense texts too."""
+    monkeypatch.setattr(D, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(D, "DENSE", dense)
+    rng = random.Random(4)
+
+    def text(words):
+        return " ".join("".join(rng.choice("abé漢😀") for _ in range(rng.randint(1, 5))) for _ in range(words))
+    texts = ["", *[text(rng.randint(1, 25)) for _ in range(60)], "", "a", "a" * 300, ""]
+    phrases = [t[i:i + rng.randint(1, 30)] for t in texts for i in rng.sample(range(len(t)), min(len(t), 6))] + [text(2) for _ in range(40)]
+    phrases = [p for p in phrases if "" not in p.split(" ")] + [texts[1], texts[1] + "a", "aaaaaaaab", "a" * 300, "a" * 301, "b"]
+    search, table = finder([*phrases, *phrases[:50]])
+    forms = pa.array(["left out", *texts])[1:]
+    found = [tuple(map(int, row)) for part in search.find(forms) for row in zip(*part)]
+    assert found == [(n, i, t.index(row[3]) + 1) for n, t in enumerate(texts) for i, row in enumerate(table) if row[3] in t]
+    assert len(found) > 1000 and list(finder([])[0].find(forms)) == list(search.find(pa.array([], pa.string()))) == []
+
+
+def test_only_dense_texts_are_searched_one_by_one(monkeypatch):
+    """The letters of a text are not looked at once for every phrase or key; one letter over and over is the exception."""
+    single = []
+    monkeypatch.setattr(D, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(D.PhraseFinder, "_one_by_one", lambda self, data, ends, f=D.PhraseFinder._one_by_one: single.append(len(data)) or f(self, data, ends))
+    usual = [" ".join(random.Random(n).choices(WORDS, k=50)) for n in range(20)]
+    search, table = finder(["a" * n for n in range(8, 100)] + WORDS)
+    found = [tuple(map(int, row)) for part in search.find(pa.array([*usual, "a" * 900])) for row in zip(*part)]
+    assert len(single) == 1 and len(found) == sum(row[3] in t for t in [*usual, "a" * 900] for row in table)
+
+
+def test_matches_come_from_the_tasks_as_rows(spark, monkeypatch):
+    """Positions are those of the search: neither texts nor lists of phrases come back from the tasks, to be searched once more."""
+    phrases = [p for _, ps in ITEMS for p in ps]
+    table = spark.createDataFrame([(f"i{n % 4}", n % 4, p, n) for n, p in enumerate(phrases)], "item string, item_ord int, variation string, var_ord int")
+    docs = spark.createDataFrame([*random_docs(80, 9), (7, "ASET  lancar"), (None, "É laba\tkotor"), (None, "laba"), (90, None), (91, "")], "doc_id long, text string")
+    sent = D.dictionary_matches(docs, table)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "instr" not in plan and "Generate" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    joined = D.dictionary_matches(docs, table)
+    assert "instr" in joined._jdf.queryExecution().executedPlan().toString() and sent.schema == joined.schema
+    assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect())) and sent.count() > 100
+
+
 def test_empty_dictionary_and_odd_phrases(spark):
     docs = spark.createDataFrame([(1, "satu dua 5")], "doc_id long, text string")
     none = spark.createDataFrame([], KEYWORD_SCHEMA)
